@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module with ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_substring_dedup": "substring_dedup",
 }
 
 
