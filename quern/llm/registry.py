@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_substring_dedup": "substring_dedup",
+    "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
 }
 
