@@ -13,6 +13,7 @@ MODULES = {
     "op2_substring_dedup": "substring_dedup",
     "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
+    "op8_packing": "packing",
 }
 
 
