@@ -14,6 +14,7 @@ MODULES = {
     "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
     "op8_packing": "packing",
+    "op9_bpe_codec": "bpe_codec",
 }
 
 
