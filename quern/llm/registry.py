@@ -15,6 +15,7 @@ MODULES = {
     "op6_simhash_dedup": "simhash",
     "op8_packing": "packing",
     "op9_bpe_codec": "bpe_codec",
+    "op10_language_id": "language",
 }
 
 
