@@ -14,6 +14,7 @@ MODULES = {
     "op4_secret_scan": "secrets",
     "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
+    "op7_embedding_dedup": "embeddings",
     "op8_packing": "packing",
     "op9_bpe_codec": "bpe_codec",
     "op10_language_id": "language",
