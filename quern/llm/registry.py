@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_substring_dedup": "substring_dedup",
+    "op3_pii_surrogates": "pii",
     "op4_secret_scan": "secrets",
     "op5_token_counts": "token_counts",
     "op6_simhash_dedup": "simhash",
