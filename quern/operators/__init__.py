@@ -1 +1 @@
-"""."""
+"""Relational operators that need more than one built-in step."""

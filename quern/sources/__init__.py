@@ -1 +1 @@
-"""."""
+"""Table sources and sinks."""

@@ -1 +1 @@
-"""."""
+"""The SQL engine has no stream operators; tables may still be read as streams with Structured Streaming as it is."""
