@@ -55,7 +55,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![\w]|-[0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])",
-    "name": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"'«]))(?:{_TITLE})\.? (?:[^\W[0-9]_a-z][^\W[0-9]_]+(?:-[^\W[0-9]_]+)?)(?: [^\W[0-9]_a-z][^\W[0-9]_]+)?",
+    "name": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"'«]))(?:{_TITLE})\.? (?:[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-z][^\W\d_]+)?",
 }
 FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Every entity has one of these; texts without any need no closer look.
