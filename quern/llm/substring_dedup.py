@@ -250,4 +250,16 @@ def _parsed(ids, words, removed, sha, texts, factors) -> pa.Table:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(documents(spark, sf_dir)).drop("kept_text", "spans")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN array_to_string(ws[i:i + 12], ' ') END AS win FROM p),
+f AS (SELECT doc_id, i, word, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS hit FROM g),
+c AS (SELECT doc_id, i, word, max(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
