@@ -49,7 +49,7 @@ class Vocabulary:
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._bytes = byte_characters()
+        self.byte_characters = byte_characters()
         self.pattern = WORD_PATTERN if self.suffix else BYTE_PATTERN
 
     def parts(self, text: str) -> list[str]:
@@ -66,11 +66,11 @@ class Vocabulary:
 
     def merged_length(self, pretoken: str) -> int:
         """How many tokens the library's own merges leave of one pre-token."""
-        return len(self.library.model.tokenize("".join([self._bytes[b] for b in pretoken.encode()])))
+        return len(self.library.model.tokenize("".join([self.byte_characters[b] for b in pretoken.encode()])))
 
     def symbols(self, pretoken: str) -> list[str]:
         """A pre-token as the byte characters that merges start from, the last with the end-of-word suffix."""
-        out = [self._bytes[b] for b in pretoken.encode()]
+        out = [self.byte_characters[b] for b in pretoken.encode()]
         if self.suffix:
             out[-1] += self.suffix
         return out
@@ -117,7 +117,7 @@ class Vocabulary:
         A vocabulary string counts once it is proven: its bytes are a text, the
         text is one pre-token, and the merges turn that into this one token.
         """
-        place = {c: b for b, c in enumerate(self._bytes)}
+        place = {c: b for b, c in enumerate(self.byte_characters)}
         proven = {}
         for token, number in self.ids.items():
             raw = token.removesuffix(self.suffix) if self.suffix else token

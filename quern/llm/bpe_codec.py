@@ -21,91 +21,116 @@ from .bpe import Vocabulary, vocabulary
 from .shared import documents
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words in each of the two generations that a worker remembers.
+REMEMBERED = 200_000
+#: In place of an id: no token of its own, and one that is not worked out yet.
+ABSENT, UNTRIED = -1, -2
 
 
 class TrieEncoder:
-    """Ids and token strings of words, remembered per word."""
+    """Ids and token strings of words, remembered per word.
+
+    Words are kept in two generations: when the young one is full it becomes the
+    old one, and old words that come again are young again. Frequent words thus
+    stay, and at most twice ``REMEMBERED`` words and one batch are held.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.longest = max(map(len, vocab.ids))
+        self.longest = max(len(t.removesuffix(vocab.suffix)) for t in vocab.ids)
+        self.names = {number: token for token, number in vocab.ids.items()}
+        self.shift = max(self.names).bit_length()
         self.known: dict[str, tuple[int, str, str]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
-
-    def _alone(self, token: str, symbols: list[str]) -> bool:
-        ok = self._whole.get(token)
-        if ok is None:
-            ok = self._whole[token] = self.vocab.merge(symbols) == [token]
-        return ok
-
-    def _compatible(self, left: str, left_symbols: list[str], right: str, right_symbols: list[str]) -> bool:
-        ok = self._pairs.get((left, right))
-        if ok is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            ok = self._pairs[left, right] = self.vocab.merge(left_symbols + right_symbols) == [left, right]
+        self._older: dict[str, tuple[int, str, str]] = {}
+        self._pairs: dict[int, bool] = {}
+        # inner tokens, and tokens with the suffix (shown without it): id if it encodes to itself, else absent
+        suffix = vocab.suffix
+        self._inner = dict.fromkeys((t for t in vocab.ids if not suffix or not t.endswith(suffix)), UNTRIED)
+        self._final = dict.fromkeys((t.removesuffix(suffix) for t in vocab.ids if suffix and t.endswith(suffix)), UNTRIED)
+        self._latin = dict(enumerate(vocab.byte_characters))
+
+    def _alone(self, token: str, suffix: str) -> int:
+        """The id of a vocabulary string if it encodes to itself, else ``ABSENT``."""
+        whole = self.vocab.merge([*token[:-1], token[-1] + suffix]) == [token + suffix]
+        number = self.vocab.ids[token + suffix] if whole else ABSENT
+        (self._final if suffix else self._inner)[token] = number
+        return number
+
+    def _compatible(self, key: int, left: str, right: str, suffix: str) -> bool:
+        """Whether two tokens side by side encode to just these two."""
+        ok = self.vocab.merge([*left, *right[:-1], right[-1] + suffix]) == [left, right + suffix]
+        if len(self._pairs) > 1_000_000:
+            self._pairs.clear()
+        self._pairs[key] = ok
         return ok
 
-    def _last(self, path: list[str], begin: list[int], last: list[str]) -> tuple[int, str]:
-        """Where the last token of the path begins, and the token; the shorter prefixes are known."""
-        end = len(path)
-        token, found = "", None
-        spans = []
-        for at in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            token = path[at] + token
-            if token in self.vocab.ids:
-                spans.append((at, token))
-        for at, token in reversed(spans):
-            own = path[at:end]
-            if not self._alone(token, own):
+    def _last(self, word: str, end: int, begin: list[int], last: list[int], suffix: str) -> tuple[int, int]:
+        """Where the last token of the first ``end`` symbols begins, and its id; the shorter prefixes are known."""
+        alone, pairs = (self._final if suffix else self._inner).get, self._pairs.get
+        for at in range(max(0, end - self.longest), end):
+            token = word[at:end]
+            number = alone(token, ABSENT)
+            if number == UNTRIED:
+                number = self._alone(token, suffix)
+            if number == ABSENT:
                 continue
-            if at == 0 or self._compatible(last[at], path[begin[at] : at], token, own):
-                found = at, token
-                break
-        if found is None:  # an unknown symbol: the library drops it when there is no unknown token
-            return end - 1, ""
-        return found
+            if at == 0:
+                return 0, number
+            key = last[at] << self.shift | number
+            ok = pairs(key)
+            if ok is None:
+                ok = self._compatible(key, word[begin[at] : at], token, suffix)
+            if ok:
+                return at, number
+        raise ValueError(f"the vocabulary lacks a symbol of {word!r}")
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known yet, in the trie's depth-first order."""
-        coded = sorted((self.vocab.symbols(w), w) for w in words)
+        suffix, names = self.vocab.suffix, self.names
+        coded = sorted([(w.encode().decode("latin-1").translate(self._latin), w) for w in words])
         # begin[i], last[i]: last token of the prefix of i symbols on the current path
-        path: list[str] = []
-        begin, last = [0], [""]
+        path = ""
+        begin, last = [0], [0]
         for symbols, word in coded:
-            stem = symbols[:-1] if self.vocab.suffix else symbols
-            same = 0
-            for a, b in zip(path, stem, strict=False):
-                if a != b:
-                    break
-                same += 1
-            del path[same:], begin[same + 1 :], last[same + 1 :]
-            for symbol in stem[same:]:
-                path.append(symbol)
-                at, token = self._last(path, begin, last)
+            full = len(symbols)
+            stem = full - 1 if suffix else full
+            same, most = 0, min(len(path), stem)
+            if path[:most] == symbols[:most]:
+                same = most
+            else:
+                while path[same] == symbols[same]:
+                    same += 1
+            del begin[same + 1 :], last[same + 1 :]
+            for end in range(same + 1, stem + 1):
+                at, number = self._last(symbols, end, begin, last, "")
                 begin.append(at)
-                last.append(token)
+                last.append(number)
+            path = symbols[:stem]
             tokens = []
-            end = len(stem)
-            if self.vocab.suffix:
-                at, token = self._last([*path, symbols[-1]], begin, last)
-                tokens.append(token)
-                end = at
+            end = stem
+            if suffix:
+                end, number = self._last(symbols, full, begin, last, suffix)
+                tokens.append(number)
             while end > 0:
                 tokens.append(last[end])
                 end = begin[end]
-            tokens = [t for t in reversed(tokens) if t]
-            self.known[word] = (len(tokens), " ".join([str(self.vocab.ids[t]) for t in tokens]), " ".join(tokens))
+            tokens.reverse()
+            self.known[word] = (len(tokens), " ".join(map(str, tokens)), " ".join([names[t] for t in tokens]))
+
+    def _recall(self, fresh: set[str]) -> None:
+        """Make all of these words young: from the old ones, or by encoding."""
+        if len(self.known) > REMEMBERED:
+            self.known, self._older = {}, self.known
+        missing = fresh - self.known.keys()
+        again = missing & self._older.keys()
+        for word in again:
+            self.known[word] = self._older[word]
+        self.learn(missing - again)
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, the ids joined by a space, and their decoding."""
         split = []
         fresh: set[str] = set()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         for text in texts:
             parts = []
             for part in self.vocab.parts(text or ""):
@@ -116,17 +141,22 @@ class TrieEncoder:
                     fresh.update(found)
                     parts.append(found)
             split.append(parts)
-        self.learn(fresh - self.known.keys())
+        self._recall(fresh)
         return [self._join(parts) for parts in split]
 
     def _join(self, parts: list) -> tuple[int, str, str]:
-        entries: list[tuple[int, str, str]] = []
+        count, ids, tokens = 0, [], []
         for part in parts:
             if isinstance(part, str):
-                entries.append((1, str(self.vocab.special[part]), part))
-            else:
-                entries += map(self.known.__getitem__, part)
-        return sum([e[0] for e in entries]), " ".join([e[1] for e in entries if e[0]]), " ".join([e[2] for e in entries if e[0]])
+                count += 1
+                ids.append(str(self.vocab.special[part]))
+                tokens.append(part)
+            elif part:
+                numbers, coded, shown = zip(*map(self.known.__getitem__, part), strict=True)
+                count += sum(numbers)
+                ids.extend(coded)
+                tokens.extend(shown)
+        return count, " ".join(ids), " ".join(tokens)
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
