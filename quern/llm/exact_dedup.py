@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     if ambiguous.isEmpty():
         recipes = recipes.withColumn("numbers", F.lit(""))
     else:
-        recipes = recipes.join(_numbers(cut, ambiguous, hashed), ["doc_id", "text_sha256"], "left").withColumn("numbers", F.coalesce("numbers", F.lit("")))
+        recipes = recipes.join(_numbers(cut, ambiguous, hashed), "text_sha256", "left").withColumn("numbers", F.coalesce("numbers", F.lit("")))
     recipes = checkpoint(recipes)
     groups = recipes.groupBy("recipe", "numbers").agg(
         F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"))).alias("first"),
@@ -75,18 +75,18 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def _numbers(cut: DataFrame, ambiguous: DataFrame, hashed) -> DataFrame:
-    """For documents with chunks whose hash stands for several contents: position and ordinal of each.
+    """For texts with chunks whose hash stands for several contents: position and ordinal of each.
 
     The ordinal of a content is how many contents with its hash sort before it;
     only chunks with ambiguous hashes take part.
     """
-    refs = cut.select("doc_id", "text_sha256", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", hashed(F.col("chunk"))).join(ambiguous, "h")
+    refs = cut.select("text_sha256", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", hashed(F.col("chunk"))).join(ambiguous, "h").distinct()
     known = refs.select("h", "chunk").distinct()
     ordinals = known.groupBy("h").agg(F.sort_array(F.collect_list("chunk")).alias("all")).select("h", F.posexplode("all").alias("ordinal", "chunk"))
     return (
         refs.join(ordinals, ["h", "chunk"])
-        .groupBy("doc_id", "text_sha256")
-        .agg(F.concat_ws(",", F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ordinal"))), lambda x: F.concat_ws(":", x["pos"].cast("string"), x["ordinal"].cast("string"))))).alias("numbers"))
+        .groupBy("text_sha256")
+        .agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("pos", "ordinal"))), lambda x: F.concat_ws(":", x["pos"].cast("string"), x["ordinal"].cast("string")))).alias("numbers"))
     )
 
 

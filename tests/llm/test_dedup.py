@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,15 @@ def test_exact_repeated_and_null_ids(spark):
     assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (2, 2, 1, True)], key=repr)
 
 
+def test_exact_null_ids_under_colliding_hashes(spark):
+    texts = ["ab", "zz", "qq x", "a b", "zz", "m", "n", "o"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(7, "zz")], "doc_id long, text string")
+    for bits in (64, 1):
+        got = Counter((r["text_sha256"], r["group_size"], r["keep_id"]) for r in exact_dedup.exact_dedup(df, bits).collect())
+        sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("ab", "zz", "qqx", "m", "n", "o")}
+        assert got == {(sha["ab"], 2, None): 2, (sha["zz"], 3, 7): 3} | {(sha[t], 1, None): 1 for t in ("qqx", "m", "n", "o")}
+
+
 def test_chunks_make_up_the_text(spark, texts):
     from pyspark.sql import functions as F
 
