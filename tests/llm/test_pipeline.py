@@ -1,6 +1,12 @@
 """The pipeline's stages, each against what its operator says."""
 
+import unicodedata
+import zlib
+from collections import defaultdict
+
+import numpy as np
 import pytest
+from test_dedup import SPLIT, components, plain_fingerprint
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -24,3 +30,44 @@ def test_language_stage_drops_undecided(spark, data):
     docs = spark.createDataFrame([(1, "ein kleiner Text", "de", "s", 1), (2, "12 34", "de", "s", 1), (3, None, "de", "s", 1), (5, "noch einer", "de", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.language_stage(spark, docs, data)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
+def plain_pipeline(rows):
+    """Texts by doc_id that reach packing, by brute force."""
+    from hashlib import blake2b
+
+    from quern.llm import pii
+
+    docs = {i: t for i, t in rows if t and any(unicodedata.category(c)[0] == "L" for c in t)}
+    best = {}
+    for i, t in docs.items():
+        norm = "".join(SPLIT.findall(t))
+        best[norm] = min(best.get(norm, (0, i)), (-len(t), i))
+    ids = sorted(i for _, i in best.values())
+    prints = [plain_fingerprint(docs[i]) for i in ids]
+    roots = components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    key = blake2b(pii.KEY.encode(), digest_size=32).digest()
+    return {i: pii.replace(docs[i], key)[0] for k, i in enumerate(ids) if roots[k] == k}
+
+
+def test_run_equals_brute_force(spark, data):
+    from quern.llm import bpe
+
+    library = bpe.vocabulary("byte_bpe_50k.json").library
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in plain_pipeline(documents).items()}
+    assert 0 < len(want) < len(documents)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, data).collect():
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == want.keys()
+    for parts, total in [(p, len(want[i])) for i, p in pieces.items()] + [(p, None) for p in sequences.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total if total else at <= 1024
