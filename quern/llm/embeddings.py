@@ -7,6 +7,8 @@ with its sign. A class lives in one bucket per table and also probes the
 buckets where the runner-up coordinate replaces one hash. Classes that meet are
 candidates; their cosine in double precision decides, so every link is true.
 Buckets with many residents are cut into tiles, so no task holds a whole one.
+Buckets are matched by id alone; a vector travels only to tiles where it can meet
+another, in the precision it came in.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SEED = 7
 #: Residents of a bucket per tile.
 TILE = 1024
 
-_HASHED = "id long, label string, dim int, tbl int, bucket long, probe boolean, home array<long>, vector array<double>"
+_HASHED = "id long, label string, dim int, home array<long>, probed array<array<long>>"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -76,41 +78,26 @@ def cross_polytope(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, pr
     return out
 
 
-def _units(batch: pa.RecordBatch, dim: int, at: np.ndarray) -> np.ndarray:
-    flat = batch.column("vector").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-    x = flat.astype(np.float64).reshape(len(at), dim)
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _hash_rows(tables: int, hashes: int, probes: int, seed: int):
+    """Per class the bucket it lives in and the other ones it probes, for each table."""
+
     def rows(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 for at in np.array_split(np.flatnonzero(dims == dim), max(1, int((dims == dim).sum()) // 2048)):
-                    x = _units(batch, dim, at)
-                    buckets = cross_polytope(x, tables, hashes, probes, seed)
-                    home = pa.array(list(buckets[:, :, 0]), pa.list_(pa.int64()))
-                    vector = pa.array(list(x), pa.list_(pa.float64()))
-                    ids, labels = batch.column("id").take(pa.array(at)), batch.column("label").take(pa.array(at))
-                    for t in range(tables):
-                        for p in range(1 + probes):
-                            use = np.arange(len(at)) if p == 0 else np.flatnonzero((buckets[:, t, :p] != buckets[:, t, p : p + 1]).all(1))
-                            pick = pa.array(use)
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    ids.take(pick),
-                                    labels.take(pick),
-                                    pa.array(np.full(len(use), dim), pa.int32()),
-                                    pa.array(np.full(len(use), t), pa.int32()),
-                                    pa.array(buckets[use, t, p]),
-                                    pa.array(np.full(len(use), p > 0)),
-                                    home.take(pick),
-                                    vector.take(pick),
-                                ],
-                                names=[c.split()[0] for c in _HASHED.split(", ")],
-                            )
+                    part = batch.take(pa.array(at))
+                    x = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                    buckets = cross_polytope(_units(x), tables, hashes, probes, seed)
+                    probed = [[[b for b in dict.fromkeys(t[1:]) if b != t[0]] for t in row] for row in buckets.tolist()]
+                    home, other = pa.array(list(buckets[:, :, 0]), pa.list_(pa.int64())), pa.array(probed, pa.list_(pa.list_(pa.int64())))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "dim")), home, other, part.column("vector")], names=[*(c.split()[0] for c in _HASHED.split(", ")), "vector"])
 
     return rows
 
@@ -140,7 +127,7 @@ def _verify(cosine: float):
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo < 2:
                     continue
-                x = vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, dims[lo])
+                x = _units(vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, dims[lo]))
                 home = homes.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
                 first = np.flatnonzero(part[lo:hi] == left[lo]) if not (probe[lo:hi]).all() else []
                 second = np.flatnonzero((part[lo:hi] == right[lo]) & ~probe[lo:hi])
@@ -188,7 +175,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     measure recall against brute force).
     """
     n = shuffle_partitions(vectors.sparkSession)
-    values = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    values = F.col("embedding").cast(kind)
     good = F.coalesce(
         (F.size(values) > 0)
         & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -199,11 +187,18 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), values.alias("vector"), good.alias("good"))
     classes = checkpoint(rows.where("good").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    hashed = classes.select("id", "label", F.size("vector").alias("dim"), "vector").repartition(n).mapInArrow(_hash_rows(tables, hashes, probes, SEED), _HASHED)
+    hashed = checkpoint(classes.select("id", "label", F.size("vector").alias("dim"), "vector").repartition(n).mapInArrow(_hash_rows(tables, hashes, probes, SEED), f"{_HASHED}, vector {kind}"))
     bucket = ["label", "dim", "tbl", "bucket"]
-    crowd = hashed.where("NOT probe").groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    # a probe that meets no resident goes with this join; parts is 1 for all but crowded buckets
-    placed = hashed.join(crowd, bucket).withColumn("part", F.when(F.col("probe"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    lives = F.array(F.struct(F.col("z.home").alias("bucket"), F.lit(False).alias("probe")))
+    slots = (
+        hashed.select("id", "label", "dim", F.posexplode(F.arrays_zip("home", "probed")).alias("tbl", "z"))
+        .select("id", "label", "dim", "tbl", F.explode(F.concat(lives, F.transform("z.probed", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("probe"))))).alias("slot"))
+        .select("id", "label", "dim", "tbl", "slot.bucket", "slot.probe")
+    )
+    residents = F.count_if(~F.col("probe"))
+    # buckets without a resident or with one row hold no pair; parts is 1 for all but crowded ones
+    crowd = slots.groupBy(*bucket).agg(residents.alias("residents"), F.count(F.lit(1)).alias("n")).where("residents > 0 AND n > 1").select(*bucket, F.ceil(F.col("residents") / tile).cast("int").alias("parts"))
+    placed = slots.join(crowd, bucket).withColumn("part", F.when(F.col("probe"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     tiles = F.when(F.col("probe"), F.transform(every, lambda r: F.struct(F.lit(-1).alias("left"), r.alias("right")))).otherwise(
         F.concat(
@@ -212,7 +207,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         )
     )
     # tiles (-1, r) hold the probes and the residents of part r
-    dealt = placed.withColumn("tile", F.explode(tiles)).select("id", *bucket, "probe", "part", "home", "vector", F.col("tile.left").alias("left"), F.col("tile.right").alias("right"))
+    dealt = placed.withColumn("tile", F.explode(tiles)).select("id", *bucket, "probe", "part", F.col("tile.left").alias("left"), F.col("tile.right").alias("right"))
+    dealt = dealt.join(hashed.select("id", "home", "vector"), "id")
     meet = [*bucket, "left", "right"]
     links = checkpoint(dealt.repartition(n, *meet).sortWithinPartitions(*meet).mapInArrow(_verify(cosine), "a long, b long").distinct())
     roots = connected_components(links)
