@@ -7,6 +7,9 @@ with its sign. A class lives in one bucket per table and also probes the
 buckets where the runner-up coordinate replaces one hash. Classes that meet are
 candidates; their cosine in double precision decides, so every link is true.
 Buckets with many residents are cut into tiles, so no task holds a whole one.
+Of residents a tile returns how many links each has and one link to its local
+component, so a group of near copies gives rows in proportion to its size; a pair
+met by a probe may be met again elsewhere, so these are listed and made distinct.
 Buckets are matched by id alone; a vector travels only to tiles where it can meet
 another, in the precision it came in.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import checkpoint, connected_components, shuffle_partitions
+from .simhash import _merge
 
 COSINE = 0.93
 TABLES = 10
@@ -28,7 +32,9 @@ SEED = 7
 #: Residents of a bucket per tile.
 TILE = 1024
 
-_HASHED = "id long, label string, dim int, home array<long>, probed array<array<long>>"
+#: ``near`` is null for a pair of classes, else the weight of the links that class a has in a tile; b is then in its component.
+_LINKS = "a long, b long, near long"
+_HASHED = "id long, copies long, label string, dim int, home array<long>, probed array<array<long>>"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -97,7 +103,7 @@ def _hash_rows(tables: int, hashes: int, probes: int, seed: int):
                     buckets = cross_polytope(_units(x), tables, hashes, probes, seed)
                     probed = [[[b for b in dict.fromkeys(t[1:]) if b != t[0]] for t in row] for row in buckets.tolist()]
                     home, other = pa.array(list(buckets[:, :, 0]), pa.list_(pa.int64())), pa.array(probed, pa.list_(pa.list_(pa.int64())))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "dim")), home, other, part.column("vector")], names=[*(c.split()[0] for c in _HASHED.split(", ")), "vector"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "copies", "label", "dim")), home, other, part.column("vector")], names=[*(c.split()[0] for c in _HASHED.split(", ")), "vector"])
 
     return rows
 
@@ -119,11 +125,11 @@ def _verify(cosine: float):
     def rows(batches):
         for table in whole(batches):
             edges = [0, *_changes(table, keys).tolist(), table.num_rows]
-            ids, probe = table["id"].to_numpy(), table["probe"].to_numpy()
+            ids, probe, copies = (table[c].to_numpy() for c in ("id", "probe", "copies"))
             part, dims = table["part"].to_numpy(), table["dim"].to_numpy()
             left, right, tbl = (table[c].to_numpy() for c in ("left", "right", "tbl"))
             vectors, homes = table["vector"].combine_chunks(), table["home"].combine_chunks()
-            a, b = [], []
+            a, b, near = [], [], []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo < 2:
                     continue
@@ -131,6 +137,7 @@ def _verify(cosine: float):
                 home = homes.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
                 first = np.flatnonzero(part[lo:hi] == left[lo]) if not (probe[lo:hi]).all() else []
                 second = np.flatnonzero((part[lo:hi] == right[lo]) & ~probe[lo:hi])
+                labels, weight = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
                 for s in range(0, len(first), TILE):
                     rows_ = first[s : s + TILE]
                     i, j = np.nonzero(x[rows_] @ x[second].T >= cosine - 1e-9)
@@ -141,11 +148,22 @@ def _verify(cosine: float):
                     mine = np.where(resident, (i < j) | (left[lo] != right[lo]), True) & np.where(resident, same.argmax(1) == tbl[lo], ~same.any(1))
                     i, j = i[mine & (i != j)], j[mine & (i != j)]
                     true = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-                    a.append(ids[lo:hi][i[true]])
-                    b.append(ids[lo:hi][j[true]])
+                    i, j, resident = i[true], j[true], ~probe[lo:hi][i[true]]
+                    a.append(np.minimum(ids[lo:hi][i[~resident]], ids[lo:hi][j[~resident]]))
+                    b.append(np.maximum(ids[lo:hi][i[~resident]], ids[lo:hi][j[~resident]]))
+                    near.append(np.zeros(len(a[-1]), np.int64))
+                    i, j = i[resident], j[resident]
+                    np.add.at(weight, i, copies[lo:hi][j])
+                    np.add.at(weight, j, copies[lo:hi][i])
+                    labels = _merge(labels, i, j)
+                tied = np.flatnonzero(weight)
+                a.append(ids[lo:hi][tied])
+                b.append(ids[lo:hi][labels[tied]])
+                near.append(weight[tied])
             if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b, near = (np.concatenate(x) for x in (a, b, near))
+                # copies are at least one, so a weight of zero stands for a pair
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near, mask=near == 0)], names=["a", "b", "near"])
 
     return rows
 
@@ -187,7 +205,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     )
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), values.alias("vector"), good.alias("good"))
     classes = checkpoint(rows.where("good").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    hashed = checkpoint(classes.select("id", "label", F.size("vector").alias("dim"), "vector").repartition(n).mapInArrow(_hash_rows(tables, hashes, probes, SEED), f"{_HASHED}, vector {kind}"))
+    hashed = checkpoint(classes.select("id", "copies", "label", F.size("vector").alias("dim"), "vector").repartition(n).mapInArrow(_hash_rows(tables, hashes, probes, SEED), f"{_HASHED}, vector {kind}"))
     bucket = ["label", "dim", "tbl", "bucket"]
     lives = F.array(F.struct(F.col("z.home").alias("bucket"), F.lit(False).alias("probe")))
     slots = (
@@ -208,12 +226,15 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     )
     # tiles (-1, r) hold the probes and the residents of part r
     dealt = placed.withColumn("tile", F.explode(tiles)).select("id", *bucket, "probe", "part", F.col("tile.left").alias("left"), F.col("tile.right").alias("right"))
-    dealt = dealt.join(hashed.select("id", "home", "vector"), "id")
+    dealt = dealt.join(hashed.select("id", "copies", "home", "vector"), "id")
     meet = [*bucket, "left", "right"]
-    links = checkpoint(dealt.repartition(n, *meet).sortWithinPartitions(*meet).mapInArrow(_verify(cosine), "a long, b long").distinct())
-    roots = connected_components(links)
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("near"))
+    links = checkpoint(dealt.repartition(n, *meet).sortWithinPartitions(*meet).mapInArrow(_verify(cosine), _LINKS))
+    pairs = checkpoint(links.where("near IS NULL").select("a", "b").distinct())
+    weighed = links.where("near IS NOT NULL")
+    roots = connected_components(pairs.union(weighed.select("a", "b")))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    probed = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").select("a", F.col("copies").alias("near"))
+    near = probed.union(weighed.select("a", "near")).groupBy(F.col("a").alias("id")).agg(F.sum("near").alias("near"))
     named = (
         classes.join(near, "id", "left")
         .join(roots.withColumnRenamed("node", "id"), "id", "left")
