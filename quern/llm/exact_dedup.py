@@ -8,7 +8,9 @@
    bytes move once, combined on the map side, and prove whether a hash stands
    for a single content. Hashes that do not are numbered apart.
 3. A document's recipe is the ordered list of its verified chunk ids. Documents
-   are compared by recipe only, so long texts never move again.
+   are compared by recipe only, so long texts never move again. A recipe that
+   many documents share is dealt over several tasks when its group's answer
+   comes back to them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, documents
+from .shared import checkpoint, documents, join_hot
 
 MIN_CHUNK = 192
 MAX_CHUNK = 4096
@@ -65,7 +67,7 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"))).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    return recipes.join(groups, ["recipe", "numbers"]).select(
+    return join_hot(recipes, groups, ["recipe", "numbers"], "doc_id").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",

@@ -21,6 +21,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has more than this share of the rows, so there are fewer than 256 hot keys.
+HOT_SHARE = 256
+SALTS = 32
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join rows with facts (few rows per key) where a key may have a large share of all rows.
+
+    Rows of hot keys are dealt over ``SALTS`` tasks by a hash of the column
+    ``spread``, and the facts of those keys are repeated for each. Hot keys are
+    known by 64-bit hashes, fewer than ``HOT_SHARE`` of them whatever the table,
+    so these are broadcast; a chance hit there only deals one more key.
+    ``how`` is inner or left. ``rows`` is read twice and should be cheap to read.
+    """
+    hashed = F.xxhash64(*keys)
+    sizes = rows.groupBy(hashed.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    total = sizes.agg(F.sum("__n").alias("__total"))
+    hot = checkpoint(sizes.join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__total")).select("__hot"))
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), hashed == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    every = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = facts.join(F.broadcast(hot), hashed == F.col("__hot"), "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
