@@ -26,24 +26,30 @@ HOT_SHARE = 256
 SALTS = 32
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """64-bit hashes of the hot keys, fewer than ``HOT_SHARE`` whatever the table."""
+    sizes = rows.groupBy(F.xxhash64(*keys).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    total = sizes.agg(F.sum("__n").alias("__total"))
+    return checkpoint(sizes.join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__total")).select("__hot"))
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join rows with facts (few rows per key) where a key may have a large share of all rows.
 
     Rows of hot keys are dealt over ``SALTS`` tasks by a hash of the column
-    ``spread``, and the facts of those keys are repeated for each. Hot keys are
-    known by 64-bit hashes, fewer than ``HOT_SHARE`` of them whatever the table,
-    so these are broadcast; a chance hit there only deals one more key.
-    ``how`` is inner or left. ``rows`` is read twice and should be cheap to read.
+    ``spread``, and the facts of those keys are repeated for each. Only hashes
+    of hot keys are broadcast; a chance hit there only deals one more key.
+    ``how`` is inner or left. ``rows`` is read twice and should be cheap to
+    read, unless its ``hot_keys`` are given. The merge join is asked for, since
+    a join moved to where the facts lie would undo the dealing.
     """
-    hashed = F.xxhash64(*keys)
-    sizes = rows.groupBy(hashed.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__total"))
-    hot = checkpoint(sizes.join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__total")).select("__hot"))
+    hot = hot_keys(rows, keys) if hot is None else hot
+    is_hot = F.xxhash64(*keys) == F.col("__hot")
     salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), hashed == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    dealt = rows.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", salt).drop("__hot")
     every = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = facts.join(F.broadcast(hot), hashed == F.col("__hot"), "left").withColumn("__salt", F.explode(every)).drop("__hot")
-    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
+    repeated = facts.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return dealt.hint("merge").join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,16 +66,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns ``a`` and ``b``. Every round takes the smallest
     label among neighbours and then the label of that label (pointer jumping),
     so stars and chains shrink geometrically. Nothing but one count per round
-    comes to the driver. Hot nodes only meet in sort-merge joins, which AQE
-    splits, and in sums, which are combined before the shuffle.
+    comes to the driver. Hubs and the labels of large components are dealt over
+    several tasks; minima are combined before the shuffle.
     """
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    hubs = hot_keys(both, ["b"])
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        near = join_hot(both, labels.select(F.col("node").alias("b"), "component"), ["b"], "a", hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        hooked = checkpoint(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")))
         parent = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = hooked.join(parent, "component").select("node", "old", F.least("component", "up").alias("component"))
+        jumped = join_hot(hooked, parent, ["component"], "node").select("node", "old", F.least("component", "up").alias("component"))
         jumped = checkpoint(jumped)
         moved = jumped.where("old <> component").limit(1).count()
         labels = jumped.select("node", "component")

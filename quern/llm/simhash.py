@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, connected_components, documents, shuffle_partitions
+from .shared import checkpoint, connected_components, documents, join_hot, shuffle_partitions
 from .words import find_words, joined, text_bytes
 
 SHINGLE = 3
@@ -246,7 +246,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, max_group: int = 409
     inner = (64 - width) // (radius + 1)
     rest = f"(shiftleft(shiftrightunsigned(shiftrightunsigned(fp, b * {width}), {width}), b * {width}) | (fp & (shiftleft(1L, b * {width}) - 1L)))"
     dealt = (
-        first.join(crowded, ["b", "v"], "left")
+        join_hot(first, crowded, ["b", "v"], "fp", "left")
         .withColumn("c", F.explode(F.when(F.col("crowded"), blocks).otherwise(F.array(F.lit(-1)))))
         .withColumn("w", F.expr(f"CASE WHEN c < 0 THEN 0L ELSE shiftrightunsigned({rest}, c * {inner}) & {(1 << inner) - 1}L END"))
         .select("b", "v", "c", "w", "fp")
@@ -267,10 +267,10 @@ def simhash_dedup(docs: DataFrame, radius: int = RADIUS, max_group: int = 4096)
     found = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long"))
     fps = checkpoint(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(fingerprint_links(fps, radius, max_group).distinct())
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = checkpoint(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = checkpoint(rooted.join(smallest, "root").select("fp", "component_id"))
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpoint(join_hot(rooted, smallest, ["root"], "fp").select("fp", "component_id"))
+    return join_hot(found, named, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

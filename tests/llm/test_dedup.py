@@ -141,6 +141,15 @@ def test_gray_index_links_like_all_pairs():
     assert len(set(zip(labels, want, strict=True))) == len(set(labels)) == len(set(want))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_with_hot_keys(spark, how):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)], "a long, k string")
+    facts = spark.createDataFrame([("hot", 1), ("k3", 2), ("unused", 3)], "k string, v int")
+    got = {r["a"]: r["v"] for r in shared.join_hot(rows, facts, ["k"], "a", how).collect()}
+    want = {i: 1 if i % 3 else 2 if i == 3 else None for i in range(900)}
+    assert got == {i: v for i, v in want.items() if v or how == "left"}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
