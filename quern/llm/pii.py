@@ -1,20 +1,28 @@
 """Personal data: detection and keyed surrogates of the same type.
 
-A surrogate is a keyed permutation of its entity within the set of strings of
-the same shape (each digit, small and capital letter stays one, separators
-stay), so different entities always get different surrogates and equal ones get
-equal surrogates in every document, without any table. Card numbers keep a
-valid check digit, addresses keep their octets in range, mail addresses keep
-their top-level domain. Names after a title take a name of the title's gender
-and the name's script. Each document's replacements are then checked: a
-surrogate that is an entity of the document, or that another entity has taken
-already, is drawn again.
+A surrogate is a keyed permutation without fixed points of the strings of the
+entity's shape (each digit, small and capital letter stays one, separators
+stay). So no entity stays as it is, different entities always get different
+surrogates and equal ones get equal surrogates in every document, without any
+table. Card numbers keep a valid check digit, addresses keep their octets in
+range, mail addresses keep their top-level domain.
+
+Names after a title are replaced word by word, so a surname has one surrogate
+whatever first name or title goes with it. A first name of the list for the
+title's gender becomes another of that list. Any other word has its letters
+permuted within vowels, consonants or the letters of their script, except the
+last one, whose ending shows gender in many languages.
+
+Each document is then checked: a surrogate that is itself an entity of the
+document is drawn again until it is neither that nor another surrogate there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +31,8 @@ from pyspark.sql import functions as F
 from .shared import documents
 
 KEY = "quern-surrogates"
+#: Draws within an entity's shape before its document may use a longer surrogate.
+MANY_DRAWS = 256
 
 #: Titles by gender (fixed values); a title without one is neutral.
 TITLES = {
@@ -39,12 +49,10 @@ FIRST = {
     ("cyrillic", "m"): "Антон Борис Денис Иван Олег Павел Юрий",
     ("cyrillic", "n"): "Саша Женя Валя",
 }
-LAST = {
-    "latin": "Abbott Becker Castillo Durand Ekman Fischer Garnier Holm Ibarra Jansen Keller Lambert Moreno Novak Ortega Petit Quinn Richter Serrano Thomas Urban Vogel Weber Young Zimmer",
-    "cyrillic": "Белова Волков Громов Ершова Зуев Козлова Лебедев Морозова Новиков Орлова",
-}
+#: Vowels and consonants by script and case (fixed values); a letter that is not here moves among its neighbours.
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
 
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts.split())
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
 #: Kinds in order of precedence where two could begin at one place.
@@ -63,37 +71,77 @@ HINT = re.compile(rf"[@0-9]|(?:{_TITLE})\.? ")
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of range(size): a Feistel network on enough bits, walked until it lands inside."""
+def _round(half: int, r: int, right: int, key: bytes, tweak: str) -> int:
+    width = (half + 7) // 8
+    seed = f"{tweak}|{half}|{r}|".encode() + right.to_bytes(width, "big")
+    digest = b"".join(hashlib.blake2b(seed + bytes([i]), key=key).digest() for i in range(width // 64 + 1))
+    return int.from_bytes(digest[:width], "big") & ((1 << half) - 1)
+
+
+def _permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a Feistel network on enough bits, walked until it lands inside."""
     if size < 2:
         return value
     half = max(((size - 1).bit_length() + 1) // 2, 1)
     mask = (1 << half) - 1
-    width = (half + 7) // 8
     while True:
         left, right = value >> half, value & mask
-        for r in range(6):
-            seed = f"{tweak}|{half}|{r}|".encode() + right.to_bytes(width, "big")
-            digest = b"".join(hashlib.blake2b(seed + bytes([i]), key=key).digest() for i in range(width // 64 + 1))
-            left, right = right, left ^ (int.from_bytes(digest[:width], "big") & mask)
+        for r in reversed(range(6)) if back else range(6):
+            if back:
+                left, right = right ^ _round(half, r, left, key, tweak), left
+            else:
+                left, right = right, left ^ _round(half, r, right, key, tweak)
         value = left << half | right
         if value < size:
             return value
 
 
+def derange(value: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(size) without fixed points: one step along a hidden order of all values."""
+    return _permute((_permute(value, size, key, tweak) + 1) % size, size, key, tweak, back=True)
+
+
+def _within(text: str, classes: list[str], key: bytes, tweak: str) -> str:
+    """The text with each character moved within its class of characters."""
+    size, value = 1, 0
+    for c, s in zip(text, classes, strict=True):
+        size, value = size * len(s), value * len(s) + s.index(c)
+    value, out = derange(value, size, key, tweak), []
+    for s in reversed(classes):
+        value, digit = divmod(value, len(s))
+        out.append(s[digit])
+    return "".join(reversed(out))
+
+
 def shape_surrogate(text: str, key: bytes, tweak: str) -> str:
     """The text with its ASCII letters and digits permuted within strings of the same shape."""
-    places = [(i, s) for i, c in enumerate(text) for s in _SETS if c in s]
-    size = value = 0
-    size = 1
-    for i, s in places:
-        size, value = size * len(s), value * len(s) + s.index(text[i])
-    value = _permute(value, size, key, f"{tweak}|{''.join(str(_SETS.index(s)) for _, s in places)}")
-    out = list(text)
-    for i, s in reversed(places):
-        value, digit = divmod(value, len(s))
-        out[i] = s[digit]
-    return "".join(out)
+    classes = [next((s for s in _SETS if c in s), c) for c in text]
+    shape = "".join(str(_SETS.index(s)) if s in _SETS else "-" for s in classes)
+    return _within(text, classes, key, f"{tweak}|{shape}")
+
+
+@lru_cache(4096)
+def _letters(c: str) -> str:
+    """The letters that may stand for a letter of a name: its own kind, or its 64 neighbours of the same category."""
+    for s in LETTERS:
+        if c in s:
+            return s
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == unicodedata.category(c) and not any(x in s for s in LETTERS))
+
+
+def name_surrogate(word: str, listed: list[str], key: bytes, tweak: str) -> str:
+    """Another word of the list for one of its words; any other word becomes one that is not in the list."""
+    if word in listed:
+        return listed[derange(listed.index(word), len(listed), key, f"{tweak}|listed")]
+    classes = [_letters(c) if c.isalpha() else c for c in word]
+    if sum(len(s) > 1 for s in classes[:-1]):
+        classes[-1] = word[-1]
+    form = f"{tweak}|{'|'.join(classes)}"
+    made = _within(word, classes, key, form)
+    while made in listed:  # walk on, so that two words never meet
+        made = _within(made, classes, key, form)
+    return made
 
 
 def luhn(digits: str) -> bool:
@@ -113,7 +161,7 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return f"{shape_surrogate(local + '@' + host, key, tweak)}.{top}"
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
-        value = _permute(int.from_bytes(bytes(octets), "big"), 1 << 32, key, tweak)
+        value = derange(int.from_bytes(bytes(octets), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, value.to_bytes(4, "big")))
     if kind == "card":
         digits = re.sub(r"\D", "", text)
@@ -126,21 +174,27 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return next(body + c for c in "0123456789" if luhn(re.sub(r"\D", "", body + c)))
     if kind == "name":
         title, _, name = text.partition(" ")
+        *first, last = name.split(" ")
         script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
         gender = _GENDER[title if title in _GENDER else title.rstrip(".")]
-        first, last = FIRST[script, gender].split(), LAST[script].split()
-        draw = int.from_bytes(hashlib.blake2b(f"{tweak}|{text}".encode(), key=key, digest_size=16).digest(), "big")
-        words = name.split(" ")
-        chosen = [last[draw % len(last)]] if len(words) == 1 else [first[draw // len(last) % len(first)], last[draw % len(last)]]
-        if attempt > len(first) * len(last):  # a document with more names than the lists have
-            chosen[-1] += "-" + shape_surrogate(words[-1].lower(), key, tweak).capitalize()
-        return f"{title} {' '.join(chosen)}"
+        given = [name_surrogate(w, FIRST[script, gender].split(), key, f"{tweak}|{gender}") for w in first]
+        return " ".join([title, *given, name_surrogate(last, [], key, tweak)])
     if kind in ("phone", "iban"):  # country codes stay
         lead = re.match(r"\+[0-9]{1,3}(?=\D)|[A-Z]{2}|", text)[0]
         return lead + shape_surrogate(text[len(lead) :], key, tweak)
     return shape_surrogate(text, key, tweak)
 
 
+def _longer(kind: str, made: str, key: bytes, tweak: str) -> str:
+    """A surrogate outside its entity's shape, for a document that uses up the strings of a short shape."""
+    letters = shape_surrogate("aaaaaaaa", key, tweak)
+    if kind == "email":
+        return f"{letters}.{made}"
+    if kind == "phone":
+        return f"{made}-{shape_surrogate('0000', key, tweak)}"
+    return f"{made}-{letters.capitalize()}" if kind == "name" else made
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Entities as (kind, start, end), leftmost first and not overlapping."""
     if not HINT.search(text):
@@ -153,14 +207,16 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]], lis
     entities = find(text)
     if not entities:
         return text, [], []
-    originals = {text[a:b] for _, a, b in entities}
-    taken: dict[str, str] = {}
-    used: set[str] = set()
-    for kind, entity in sorted({(k, text[a:b]) for k, a, b in entities}):
-        attempt, made = 0, surrogate(kind, entity, key)
-        while made in originals or made in used:
+    kinds = {text[a:b]: k for k, a, b in entities}
+    taken = {entity: surrogate(kind, entity, key) for entity, kind in kinds.items()}
+    used = set(taken.values())
+    for entity in sorted(e for e, made in taken.items() if made in kinds):
+        attempt, made = 0, taken[entity]
+        while made in kinds or made in used:
             attempt += 1
-            made = surrogate(kind, entity, key, attempt)
+            made = surrogate(kinds[entity], entity, key, attempt)
+            if attempt > MANY_DRAWS:
+                made = _longer(kinds[entity], made, key, f"{entity}|{attempt}")
         taken[entity] = made
         used.add(made)
     parts, at, spans, size = [], 0, [], 0
@@ -180,8 +236,9 @@ def replace_entities(docs: DataFrame, key: str = KEY, passing: list[str] | None
     Returns one row per input row: doc_id, the ``passing`` columns, text (with
     surrogates), n_entities, entities (kind:start:end in the new text,
     comma-joined). Null text stays null and has no entities, an empty text stays
-    empty. Equal entities get equal surrogates whatever row they are in, unless
-    a row's own check made it draw again. Other columns are ignored.
+    empty. Equal entities get equal surrogates whatever row they are in, and
+    different ones different surrogates, unless a row's own check made it draw
+    again. Other columns are ignored.
     """
     passing = passing or []
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
