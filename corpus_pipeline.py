@@ -19,6 +19,7 @@ from quern.llm.packing import pack_documents
 from quern.llm.pii import replace_entities
 from quern.llm.simhash import simhash_dedup
 
+#: The columns of documents; each stage drops extra ones.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,16 +29,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.col("lang_pred") != UNDECIDED).select(*COLUMNS)
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id is kept.
+
+    Rows that share a doc_id, null included, cannot be told apart here: they all
+    stay if one of them does, so that no document is lost.
+    """
+    own, ids = docs.select(*COLUMNS), kept.select(F.col("doc_id").alias("kept_id"))
+    return own.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the one that exact dedup keeps."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _only(docs, exact_dedup(docs).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest doc_id."""
-    kept = simhash_dedup(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return _only(docs, simhash_dedup(docs).where("doc_id <=> component_id"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
