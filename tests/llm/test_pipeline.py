@@ -32,6 +32,19 @@ def test_language_stage_drops_undecided(spark, data):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, norm string"
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_repeats_and_no_rows(spark, data, stage):
+    rows = [(1, "one text of some words", None, None, None), (1, "one text of some words", "en", "s", 1), (None, "quite another text here, by far", "en", "s", 1), (4, None, None, None, None), (5, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], SCHEMA)
+    got = stage(spark, docs, data)
+    ids = {r["doc_id"] for r in got.collect()}
+    assert {1, None} <= ids <= {1, None, 4, 5}
+    assert stage(spark, docs.limit(0), data).count() == 0
+
+
 def plain_pipeline(rows):
     """Texts by doc_id that reach packing, by brute force."""
     from hashlib import blake2b
