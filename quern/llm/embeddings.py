@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint, connected_components, shuffle_partitions
+from .shared import checkpoint, connected_components, join_hot, shuffle_partitions
 from .simhash import _merge
 
 COSINE = 0.93
@@ -216,7 +216,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     residents = F.count_if(~F.col("probe"))
     # buckets without a resident or with one row hold no pair; parts is 1 for all but crowded ones
     crowd = slots.groupBy(*bucket).agg(residents.alias("residents"), F.count(F.lit(1)).alias("n")).where("residents > 0 AND n > 1").select(*bucket, F.ceil(F.col("residents") / tile).cast("int").alias("parts"))
-    placed = slots.join(crowd, bucket).withColumn("part", F.when(F.col("probe"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    placed = join_hot(slots, crowd, bucket, "id").withColumn("part", F.when(F.col("probe"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     tiles = F.when(F.col("probe"), F.transform(every, lambda r: F.struct(F.lit(-1).alias("left"), r.alias("right")))).otherwise(
         F.concat(
@@ -241,7 +241,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         .select("label", "vector", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     named = checkpoint(named)
-    linked = rows.where("good").join(named, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    linked = join_hot(rows.where("good"), named, ["label", "vector"], "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
