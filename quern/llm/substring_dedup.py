@@ -71,15 +71,17 @@ class _Split:
         return keys[starts], ids[starts] != ids[last]
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and hashes (64 and 16 bits) of the windows whose key is shared."""
+        """Places and two independent hashes (64 and 32 bits) of the windows whose key is shared."""
         near = np.zeros(len(self.keys), bool)
         if len(shared):
             at = np.searchsorted(shared, self.keys)
             near = self.whole & (shared[np.minimum(at, len(shared) - 1)] == self.keys)
         place = np.flatnonzero(near)
-        full = grams(self.words, self.window)[: len(self.keys)][place]
-        tail = pair(full, self.words[place] ^ (self.words[place + self.window - 1] << np.uint64(1)))
-        return place, full, (tail >> np.uint64(48)).astype(np.uint16)
+        if not len(place):
+            return place, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        full = grams(self.words, self.window)[place]
+        tail = grams(pair(self.words, self.words >> np.uint64(7)), self.window)[place]
+        return place, full, (tail >> np.uint64(32)).astype(np.uint32)
 
 
 def _distinct_windows(full: np.ndarray, tail: np.ndarray):
@@ -116,7 +118,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, par
     that share a doc_id are one document for this purpose: their windows are
     not held against each other. Other columns are ignored.
 
-    Windows are compared by an 80-bit hash. ``partitions`` (default: the
+    Windows are compared by a 96-bit hash. ``partitions`` (default: the
     session's shuffle partitions) sets how many splits and blocks there are;
     one split must fit a task's memory.
     """
@@ -183,8 +185,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, par
             names = np.frombuffer(data, np.int64, k, 24)
             at = 24 + 8 * k
             full.append(np.frombuffer(data, np.uint64, m, at))
-            tail.append(np.frombuffer(data, np.uint16, m, at + 8 * m))
-            ids.append(names[np.frombuffer(data, np.uint16 if size == 2 else np.uint32, m, at + 10 * m)])
+            tail.append(np.frombuffer(data, np.uint32, m, at + 8 * m))
+            ids.append(names[np.frombuffer(data, np.uint16 if size == 2 else np.uint32, m, at + 12 * m)])
             owners.append((s, m))
         if owners:
             f, t, d = np.concatenate(full), np.concatenate(tail), np.concatenate(ids)
