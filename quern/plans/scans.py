@@ -83,8 +83,8 @@ sql("set_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custk
 sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000")
 sql("set_three_way", "(SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) EXCEPT SELECT s_suppkey FROM supplier WHERE s_nationkey = 3")
 sql("set_nulls_equal", "SELECT NULLIF(l_linenumber, 2) AS k FROM lineitem INTERSECT SELECT NULLIF(CAST(o_custkey % 5 AS INT), 2) FROM orders")
-sql("set_intersect_all", "SELECT o_orderstatus AS s FROM orders WHERE o_orderkey < 900 INTERSECT ALL SELECT l_linestatus FROM lineitem WHERE l_orderkey < 90")
-sql("set_except_all", "SELECT o_orderpriority AS s FROM orders WHERE o_orderkey < 900 EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey < 300")
+sql("set_intersect_all", "SELECT o_orderstatus AS s FROM orders INTERSECT ALL SELECT l_linestatus FROM lineitem")
+sql("set_except_all", "SELECT o_orderpriority AS s FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
 sql("set_partitioned_append", "SELECT y, count(*) AS n FROM (SELECT 1996 AS y, o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' UNION ALL SELECT 1997 AS y, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00') t WHERE y = 1997 GROUP BY y")
 sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, NULLIF(l_linenumber, 4) AS n FROM lineitem")
 
@@ -100,8 +100,8 @@ def _(t):
     return create_as(orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n")), _target(orders.sparkSession, "ctas"))
 
 
-@frame("sink_insert_select", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 1000 UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 1000 AND o_orderstatus = 'F'")
+@frame("sink_insert_select", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def _(t):
-    orders = t("orders").select("o_orderkey", "o_orderstatus").where("o_orderkey < 1000")
+    orders = t("orders").select("o_orderkey", "o_orderstatus")
     target = _target(orders.sparkSession, "insert")
     return insert_select(create_as(orders, target).where("o_orderstatus = 'F'"), target)
