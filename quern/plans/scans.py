@@ -54,10 +54,10 @@ def _(t):
     return rows.where("file_name IS NOT NULL AND p >= 0").agg(F.count(F.lit(1)).alias("n"))
 
 
-sql("sort_nulls", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 3) AS k, o_orderkey AS i FROM orders) t ORDER BY k ASC NULLS LAST, i LIMIT 500")
-sql("sort_desc_nulls_first", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 3) AS k, o_orderkey AS i FROM orders) t ORDER BY k DESC NULLS FIRST, i LIMIT 500")
-sql("sort_desc_nulls_last", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 6) AS k, o_orderkey AS i FROM orders) t ORDER BY k DESC NULLS LAST, i LIMIT 500")
-sql("sort_text_bytes", "SELECT c_name, c_custkey FROM customer ORDER BY c_mktsegment, c_name DESC, c_custkey LIMIT 200")
+sql("sort_nulls", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 3) AS k, o_orderkey AS i FROM orders) t ORDER BY k ASC NULLS LAST, i")
+sql("sort_desc_nulls_first", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 3) AS k, o_orderkey AS i FROM orders) t ORDER BY k DESC NULLS FIRST, i")
+sql("sort_desc_nulls_last", "SELECT k, i FROM (SELECT NULLIF(o_custkey % 7, 6) AS k, o_orderkey AS i FROM orders) t ORDER BY k DESC NULLS LAST, i")
+sql("sort_text_bytes", "SELECT c_name, c_custkey FROM customer ORDER BY c_mktsegment, c_name DESC, c_custkey")
 sql("sort_float_special", "SELECT i, CAST(rank() OVER (ORDER BY f, i) AS BIGINT) AS r FROM (SELECT n_nationkey AS i, CASE n_nationkey % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN 0.0e0 ELSE CAST('-Infinity' AS DOUBLE) END AS f FROM nation) t")
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 25 OFFSET 40")
 sql("limit_zero", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0")

@@ -65,3 +65,18 @@ def test_insert_select_takes_all_orders(spark):
     orders = Counter(zip(column("orders", "o_orderkey"), column("orders", "o_orderstatus"), strict=True))
     got = Counter(map(tuple, QUERIES["sink_insert_select"](spark, WHOLE).collect()))
     assert got == orders + Counter({x: n for x, n in orders.items() if x[1] == "F"})
+
+
+@pytest.mark.parametrize(("name", "gone", "order"), [("sort_nulls", 3, lambda k: (k is None, k or 0)), ("sort_desc_nulls_first", 3, lambda k: (k is not None, -(k or 0))), ("sort_desc_nulls_last", 6, lambda k: (k is None, -(k or 0)))])
+def test_sorts_return_the_whole_table_in_order(spark, name, gone, order):
+    keys = [None if c % 7 == gone else c % 7 for c in column("orders", "o_custkey")]
+    want = sorted(zip(keys, column("orders", "o_orderkey"), strict=True), key=lambda r: (order(r[0]), r[1]))
+    assert [tuple(r) for r in QUERIES[name](spark, WHOLE).collect()] == want
+
+
+def test_text_sort_returns_the_whole_table_in_order(spark):
+    rows = list(zip(column("customer", "c_mktsegment"), column("customer", "c_name"), column("customer", "c_custkey"), strict=True))
+    rows.sort(key=lambda r: r[2])
+    rows.sort(key=lambda r: r[1].encode(), reverse=True)
+    rows.sort(key=lambda r: r[0].encode())
+    assert [tuple(r) for r in QUERIES["sort_text_bytes"](spark, WHOLE).collect()] == [r[1:] for r in rows]
