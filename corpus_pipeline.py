@@ -17,6 +17,7 @@ from quern.llm.exact_dedup import exact_dedup
 from quern.llm.language import UNDECIDED, identify, train
 from quern.llm.packing import pack_documents
 from quern.llm.pii import replace_entities
+from quern.llm.shared import checkpoint
 from quern.llm.simhash import simhash_dedup
 
 #: The columns of documents; each stage drops extra ones.
@@ -29,24 +30,31 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.col("lang_pred") != UNDECIDED).select(*COLUMNS)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is kept.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own for each row (row), checkpointed, since keys made twice may differ."""
+    return checkpoint(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
 
-    Rows that share a doc_id, null included, cannot be told apart here: they all
-    stay if one of them does, so that no document is lost.
-    """
-    own, ids = docs.select(*COLUMNS), kept.select(F.col("doc_id").alias("kept_id"))
-    return own.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+def _first_rows(keyed: DataFrame, groups: DataFrame, order: list) -> DataFrame:
+    """Of each group (row, group) the one row that comes first by ``order``, then doc_id (null last), then row."""
+    ranks = keyed.select("row", F.struct(*order, F.col("doc_id").isNull().alias("last"), "doc_id", F.col("row").alias("first")).alias("rank"))
+    first = ranks.join(groups, "row").groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.first").alias("row"))
+    return keyed.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the one that exact dedup keeps."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of texts that are equal without white space, the row that exact dedup keeps; one row even if doc_ids repeat or are null."""
+    keyed = _keyed(docs)
+    found = exact_dedup(keyed.select(F.col("row").alias("doc_id"), "text"))
+    longest = (-F.char_length(F.coalesce("text", F.lit("")))).alias("p")
+    return _first_rows(keyed, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), [longest])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest doc_id."""
-    return _only(docs, simhash_dedup(docs).where("doc_id <=> component_id"))
+    """Of each component of near copies, one row: that with the smallest doc_id, null last."""
+    keyed = _keyed(docs)
+    found = simhash_dedup(keyed.select(F.col("row").alias("doc_id"), "text"))
+    return _first_rows(keyed, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), [])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,12 @@ def test_run_equals_brute_force(spark, data):
             assert start == at
             at += length
         assert at == total if total else at <= 1024
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_stage, corpus_pipeline.near_stage])
+def test_one_row_of_each_group_stays_whatever_its_id(spark, data, stage):
+    a, b, c = "a text of some words that comes again and again", "nobody knows which river runs behind that old mill", "seven green bottles stand upon an empty wooden shelf"
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, b), (None, c), (None, c), (2, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 9, "x") for i, t in rows], SCHEMA).repartition(3)
+    got = stage(spark, docs, data).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in got) == [(a, 1), (b, 1), (c, None)]
