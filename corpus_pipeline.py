@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.exact_dedup import exact_dedup
-from quern.llm.language import UNDECIDED, identify, train
+from quern.llm.language import UNDECIDED, identify, train, with_letters
 from quern.llm.packing import pack_documents
 from quern.llm.pii import replace_entities
 from quern.llm.shared import checkpoint
@@ -25,8 +25,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text that is null or has no letter goes."""
-    found = identify(docs.select(*COLUMNS), train(docs), [c for c in COLUMNS if c != "doc_id"])
+    """Documents with a letter; a text that is null or has none goes. Where no language could be learnt, ``und`` says nothing of a text."""
+    model = train(docs)
+    if not model.langs:
+        return with_letters(docs.select(*COLUMNS))
+    found = identify(docs.select(*COLUMNS), model, [c for c in COLUMNS if c != "doc_id"])
     return found.where(F.col("lang_pred") != UNDECIDED).select(*COLUMNS)
 
 

@@ -70,6 +70,10 @@ def features(text: str, size: int = SIZE) -> np.ndarray | None:
     return out / np.linalg.norm(out)
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and bool((_points(text) != 32).any())
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
     """A linear support vector machine (squared hinge loss) by accelerated gradient steps; the last weight is the bias."""
     x = np.hstack([x, np.full((len(x), 1), 0.3, np.float32)])
@@ -165,6 +169,16 @@ def identify(docs: DataFrame, model: Model, passing: list[str] | None = None) ->
     return kept.mapInArrow(rows, schema)
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def rows(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(x.as_py()) for x in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The language of every whole text, learnt from the training folds of the same table.
 

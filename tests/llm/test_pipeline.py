@@ -93,3 +93,11 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, data, stage):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), 9, "x") for i, t in rows], SCHEMA).repartition(3)
     got = stage(spark, docs, data).collect()
     assert sorted((r["text"], r["doc_id"]) for r in got) == [(a, 1), (b, 1), (c, None)]
+
+
+def test_language_stage_keeps_texts_where_nothing_could_be_learnt(spark, data):
+    texts = ["ein kleiner Text", "12 34", None, "", "noch einer"]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_stage(spark, docs, data)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4]
