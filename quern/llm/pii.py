@@ -13,6 +13,9 @@ title's gender becomes another of that list. Any other word has its letters
 permuted within vowels, consonants or the letters of their script, except the
 last one, whose ending shows gender in many languages.
 
+A word of such a name is replaced by the same surrogate wherever else the
+document has it as a whole word, before or after the title.
+
 Each document is then checked: a surrogate that is itself an entity of the
 document is drawn again until it is neither that nor another surrogate there.
 """
@@ -68,6 +71,8 @@ PATTERNS = {
 FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: Every entity has one of these; texts without any need no closer look.
 HINT = re.compile(rf"[@0-9]|(?:{_TITLE})\.? ")
+#: Words as names have them, with hyphens inside.
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -202,6 +207,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return [(m.lastgroup, m.start(), m.end()) for m in FOUND.finditer(text)]
 
 
+def _with_mentions(text: str, entities: list[tuple[str, int, int]], words: dict[str, str]) -> list[tuple[str, int, int]]:
+    """The entities and, between them, every whole word of a name that the document has with a title."""
+    found, at = [], 0
+    for entity in [*entities, (None, len(text), len(text))]:
+        found += [("name", m.start(), m.end()) for m in WORD.finditer(text, at, entity[1]) if m[0] in words]
+        at = entity[2]
+        found.append(entity)
+    return found[:-1]
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]], list[tuple[int, int]]]:
     """The text with surrogates, the entities found, and the spans of their surrogates in the new text."""
     entities = find(text)
@@ -219,9 +234,16 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]], lis
                 made = _longer(kinds[entity], made, key, f"{entity}|{attempt}")
         taken[entity] = made
         used.add(made)
+    words = {}
+    for kind, a, b in entities:
+        if kind == "name":
+            for word, made in zip(text[a:b].split(" ")[1:], taken[text[a:b]].split(" ")[1:], strict=True):
+                words.setdefault(word, made)
+    if words:
+        entities = _with_mentions(text, entities, words)
     parts, at, spans, size = [], 0, [], 0
-    for _, a, b in entities:
-        new = taken[text[a:b]]
+    for kind, a, b in entities:
+        new = taken[text[a:b]] if text[a:b] in taken else words[text[a:b]]
         parts += [text[at:a], new]
         size += a - at
         spans.append((size, size + len(new)))

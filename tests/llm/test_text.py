@@ -76,6 +76,15 @@ def test_pii_rows(docs, texts, none):
     assert pii.replace_entities(none).count() == 0
 
 
+def test_names_are_replaced_without_their_title_too():
+    text = "Schmidt came. Frau Anna Schmidt spoke; Anna and Schmidt's friend left, Schmidts, Anna2 and Annas stayed. Anna-Schmidt"
+    new, entities, spans = pii.replace(text, KEY)
+    first, last = pii.replace("Frau Anna Schmidt", KEY)[0].split()[1:]
+    assert new == f"{last} came. Frau {first} {last} spoke; {first} and {last}'s friend left, Schmidts, Anna2 and Annas stayed. Anna-Schmidt"
+    assert [text[a:b] for _, a, b in entities] == ["Schmidt", "Frau Anna Schmidt", "Anna", "Schmidt"]
+    assert [new[a:b] for a, b in spans] == [last, f"Frau {first} {last}", first, last]
+
+
 def plain_secrets(t):
     found, n = [], [0, 0, 0]
     for k, (kind, p) in enumerate((("assign", secrets.ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))):
