@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every reference block.
+"""Substring dedup by looking windows up by hash in every reference block.
+
+This is not a Lempel-Ziv parse: a block answers one bit per window, with no
+position and no longest match, and a run may join windows of several documents.
 
 The corpus is dealt into splits by a hash of doc_id. Each split is both a set of
 documents to parse and a set of reference blocks:
