@@ -66,20 +66,61 @@ def brute_substring(rows, w):
     return out
 
 
-@pytest.mark.parametrize(("window", "gram"), [(13, 5), (6, 3)])
-def test_substring(docs, texts, window, gram):
-    want = brute_substring(texts, window)
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs, window, gram).collect()}
-    assert len(got) == len(texts)
-    for i, (n, gone, kept) in want.items():
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"], got[i]["kept_sha256"]) == (n, gone, kept, hashlib.sha256(kept.encode()).hexdigest())
-        assert all(int(s.split(":")[1]) >= window for s in got[i]["spans"].split(",") if s)
+def check_substring(got, rows, window):
+    want, found = brute_substring(rows, window), {i: SPLIT.findall(t or "") for i, t in rows}
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
+    for r in got:
+        n, gone, kept = want[r["doc_id"]]
+        assert (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) == (n, gone, kept, hashlib.sha256(kept.encode()).hexdigest())
+        covered = set()
+        for span in filter(None, r["spans"].split(",")):
+            start, size, source, word = span.split(":")
+            start, size, own = int(start), int(size), found[r["doc_id"]]
+            assert size >= window and int(source) < r["doc_id"]
+            if word:
+                assert own[start : start + size] == found[int(source)][int(word) : int(word) + size]
+            covered |= set(range(start, start + size))
+        assert len(covered) == gone
+
+
+@pytest.mark.parametrize(("window", "gram", "size", "bits"), [(13, 5, 1 << 24, 64), (13, 5, 20_000, 64), (6, 3, 20_000, 64), (13, 5, 1 << 24, 6), (6, 3, 20_000, 6)])
+def test_substring(docs, texts, window, gram, size, bits):
+    check_substring(substring_dedup.substring_dedup(docs, window, gram, size, bits).collect(), texts, window)
+
+
+@pytest.mark.parametrize("size", [1 << 24, 60])
+def test_windows_of_colliding_words_are_told_apart(spark, size):
+    data, offsets = words.text_bytes(pa.array(["jntxbqdv!@!@@!!! xamfaxgb8lMymS~%"]))
+    s, e, _ = words.find_words(data, offsets)
+    assert len(set(words.hash_spans(data, s, e).tolist())) == 1
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"jntxbqdv!@!@@!!! {tail}"), (2, f"xamfaxgb8lMymS~% {tail}"), (3, f"xamfaxgb8lMymS~% {tail} more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = substring_dedup.substring_dedup(df, block_bytes=size).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 13}
+    check_substring(got, rows, 13)
+
+
+def test_factors_go_on_as_far_as_their_source(spark):
+    first, second = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(["x", *first[5:30], *second[10:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in substring_dedup.substring_dedup(df, block_bytes=100).collect()}
+    assert got == {1: "", 2: "", 3: "1:25:1:5,26:30:2:10"}
+
+
+def test_substring_null_and_repeated_ids(spark):
+    text = " ".join(map(str, range(20)))
+    rows = [(None, text), (5, text), (5, text), (5, f"{text} x"), (None, None), (None, f"y {text}"), (7, "")]
+    for size in (1 << 24, 10):
+        got = substring_dedup.substring_dedup(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, block int, id int"), block_bytes=size).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == Counter([(None, 20, 20), (5, 20, 0), (5, 20, 0), (5, 21, 0), (None, 0, 0), (None, 21, 20), (7, 0, 0)])
 
 
-def test_substring_null_id_is_last(spark):
-    text = " ".join(map(str, range(20)))
-    got = substring_dedup.substring_dedup(spark.createDataFrame([(None, text), (5, text)], "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["n_removed"] for r in got} == {5: 0, None: 20}
+def test_substring_of_a_very_long_text(spark):
+    own = [f"w{i}" for i in range(400_000)]
+    rows = [(1, " ".join(own[100_000:100_050])), (2, " ".join(own))]
+    check_substring(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1000).collect(), rows, 13)
 
 
 def test_word_hashes_depend_on_bytes_only():
