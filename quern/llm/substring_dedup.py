@@ -41,7 +41,9 @@ from .words import find_words, grams, hash_spans, joined, sliding_min, text_byte
 WINDOW = 13
 GRAM = 5
 #: Bytes of text per block; a longer document is a block's one large document.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks per slice of the index; their keys and candidate windows take about as much room as one block's text and words.
+SLICE_BLOCKS = 4
 _TOP = np.int64(2**63 - 1)
 
 #: A message: for block ``block`` from block ``other``.
@@ -61,14 +63,17 @@ class _Block:
         data, offsets = text_bytes(table["text"])
         starts, ends, self.counts = find_words(data, offsets)
         words = hash_spans(data, starts, ends)
+        del table
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
         self.first = np.cumsum(self.counts) - self.counts
         # all words of a text joined by single spaces, and where each begins and ends there
         self.flat, self.offsets = joined(data, offsets, starts, ends, self.counts, np.ones(len(starts), bool))
-        lead = np.ones(len(starts), np.int64)
-        lead[self.first[self.counts > 0]] = 0
-        self.ends = np.cumsum(ends - starts + lead)
-        self.starts = self.ends - (ends - starts)
+        sizes = ends - starts
+        del data, offsets, starts, ends
+        self.ends = sizes + 1
+        self.ends[self.first[self.counts > 0]] -= 1
+        np.cumsum(self.ends, out=self.ends)
+        self.starts = self.ends - sizes
         n = max(len(words) - window + 1, 0)
         self.whole = self.text[:n] == self.text[len(words) - n :] if n else np.zeros(0, bool)
         self.keys = sliding_min(grams(words, gram), window - gram + 1)[:n]
@@ -175,6 +180,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(-(-size // block_bytes), 1)
+    slices = -(-blocks // SLICE_BLOCKS)
     # a row's own number deals even repeated rows over all blocks
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(n, "block")
 
@@ -183,7 +189,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 
     def send_keys(key, table):
         keys, _ = load(table).distinct_keys()
-        return _messages([(b, key[0].as_py(), _KEYS, keys[lo:hi].tobytes()) for b, lo, hi in _runs(_slices(keys, blocks))])
+        return _messages([(b, key[0].as_py(), _KEYS, keys[lo:hi].tobytes()) for b, lo, hi in _runs(_slices(keys, slices))])
 
     def index_keys(key, table):
         sent = _read(table, _KEYS)
@@ -200,9 +206,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     def shared_keys(own: _Block, answers: pa.Table):
         """Distinct keys, which of them other blocks hold, and the places of windows under keys of several documents."""
         keys, local = own.distinct_keys()
-        slices, elsewhere = _slices(keys, blocks), np.zeros(len(keys), bool)
+        parts, elsewhere = _slices(keys, slices), np.zeros(len(keys), bool)
         for b, data in _read(answers, _KEYS):
-            lo, hi = np.searchsorted(slices, [b, b + 1])
+            lo, hi = np.searchsorted(parts, [b, b + 1])
             elsewhere[lo:hi] = np.unpackbits(np.frombuffer(data, np.uint8), count=hi - lo)
         return keys, elsewhere, own.candidates(keys[local | elsewhere])
 
@@ -216,11 +222,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
         h, at = hashes[order][first], place[order][first]
         ids = own.ids[own.text[at]]
         rows = []
-        for b, lo, hi in _runs(_slices(h, blocks, hash_bits)):
+        for b, lo, hi in _runs(_slices(h, slices, hash_bits)):
             names, where = np.unique(ids[lo:hi], return_inverse=True)
             where = where.astype(np.uint16 if len(names) < 2**16 else np.uint32)
             rows.append((b, me, _WINDOWS, _pack(h[lo:hi], at[lo:hi].astype(np.uint32), names, where.view(np.uint8))))
-        for b, lo, hi in _runs(_slices(keys, blocks)):
+        for b, lo, hi in _runs(_slices(keys, slices)):
             if elsewhere[lo:hi].any():  # the key index's answer goes along, so that the next step has it
                 rows.append((b, me, _KEYS, np.packbits(elsewhere[lo:hi]).tobytes()))
         return _messages(rows)
@@ -258,10 +264,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
         at, where = place[order][first], np.full(len(first), me, np.int64)
         inner = own.ids[own.text[at]]
         outside = np.zeros(len(first), bool)
-        slices = _slices(hashes[order][first], blocks, hash_bits)
+        parts = _slices(hashes[order][first], slices, hash_bits)
         for b, data in _read(right, _WINDOWS):
             bits, owner, there = _unpack(data, np.uint8, np.int32, np.uint32)
-            lo, hi = np.searchsorted(slices, [b, b + 1])
+            lo, hi = np.searchsorted(parts, [b, b + 1])
             hit = lo + np.flatnonzero(np.unpackbits(bits, count=hi - lo))
             outside[hit], where[hit], at[hit] = True, owner, there
         held = outside[group] | (own.ids[own.text[place]] > inner[group])
