@@ -49,7 +49,6 @@ _TOP = np.int64(2**63 - 1)
 #: A message: for block ``block`` from block ``other``.
 _SENT = "block int, other int, kind int, data binary"
 _KEYS, _WINDOWS, _FACTORS, _AMBIGUOUS, _EXACT = range(5)
-_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans string"
 
 
 class _Block:
@@ -158,11 +157,11 @@ def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(sorted_[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64, with_text: bool = True) -> DataFrame:
     """Words of each document that earlier documents already have in a window.
 
     Returns one row per input row: doc_id, n_words, n_removed, kept_sha256,
-    kept_text, spans ("start:length:source:word" of each factor, in words,
+    kept_text (unless ``with_text`` is false), spans ("start:length:source:word" of each factor, in words,
     comma-joined; source is the doc_id that has the words and word where they
     begin there, empty for a window that was resolved by its words alone). A word goes if a window of ``window`` consecutive words that
     covers it also starts in a document with a smaller doc_id, all judged on the
@@ -326,7 +325,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 
     def exact(ambiguous: DataFrame) -> DataFrame:
         """Messages with the windows under ambiguous hashes that a smaller doc_id starts, told by their words."""
-        hashes = checkpoint(ambiguous.select("data").mapInArrow(spell_hashes, "hash long").distinct())
+        hashes = checkpoint(ambiguous.mapInArrow(spell_hashes, "hash long").distinct())
         spelt = checkpoint(dealt.groupBy("block").applyInArrow(spell_windows, "block int, place long, id long, hash long, phrase binary").join(hashes, "hash", "left_semi"))
         first = spelt.groupBy("phrase").agg(F.min("id").alias("source"))
         held = spelt.join(first, "phrase").where("id > source").select("block", "place", "source")
@@ -338,7 +337,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 
     def apply(key, left, right):
         if left.num_rows == 0:
-            return _results([], [], [], [], [], [])
+            return _results(load(left), left["doc_id"], [], [], [], None)
         own = load(left)
         found: list[tuple] = []
         for _, data in _read(right, _FACTORS):
@@ -358,37 +357,41 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
         for start, size, doc, word in found:
             t = own.text[start]
             factors[t].append(f"{start - own.first[t]}:{size}:{doc}:{word if word >= 0 else ''}")
-        texts = [bytes_[at[i] : at[i + 1]] for i in range(len(own.counts))]
-        return _results(pa.array(own.ids, mask=own.nulls), own.counts, gone, [hashlib.sha256(x).hexdigest() for x in texts], texts, [",".join(x) for x in factors])
+        wrong = b"".join(data for _, data in _read(right, _AMBIGUOUS)) or None
+        return _results(own, pa.array(own.ids, mask=own.nulls), gone, [bytes_[at[i] : at[i + 1]] for i in range(len(own.counts))], factors, wrong)
+
+    def _results(own, ids, removed, texts, factors, wrong) -> pa.Table:
+        rows = {
+            "doc_id": ids,
+            "n_words": pa.array(own.counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+            "spans": pa.array([",".join(x) for x in factors], pa.string()),
+            "wrong": pa.array([wrong][: len(texts)] + [None] * (len(texts) - 1), pa.binary()),
+        }
+        return pa.table(rows | ({"kept_text": pa.array(texts, pa.large_binary()).cast(pa.large_string())} if with_text else {}))
 
     def answered(sent: DataFrame, step) -> DataFrame:
         """What every block makes of its documents and the messages to it."""
         return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(step, _SENT)
 
+    def results(factors: DataFrame) -> DataFrame:
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string, wrong binary" + ", kept_text string" * with_text
+        return dealt.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(apply, schema)
+
     keys = dealt.groupBy("block").applyInArrow(send_keys, _SENT).groupBy("block").applyInArrow(index_keys, _SENT)
     windows = answered(keys, send_windows).groupBy("block").applyInArrow(search_index, _SENT)
-    factors = checkpoint(answered(answered(windows, factor), verify))
-    ambiguous = factors.where(F.col("kind") == _AMBIGUOUS)
+    factors = answered(answered(windows, factor), verify)
+    # one query up to here, so that the texts are dealt once
+    found = checkpoint(results(factors))
+    ambiguous = found.where("wrong IS NOT NULL")
     if not ambiguous.isEmpty():
-        factors = factors.where(F.col("kind") == _FACTORS).union(exact(ambiguous))
-    return dealt.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(apply, _RESULT)
-
-
-def _results(ids, words, removed, sha, texts, factors) -> pa.Table:
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, pa.int64()) if not isinstance(ids, pa.Array) else ids,
-            "n_words": pa.array(words, pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-            "kept_sha256": pa.array(sha, pa.string()),
-            "kept_text": pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string()),
-            "spans": pa.array(factors, pa.string()),
-        }
-    )
+        found = results(factors.where(F.col("kind") == _FACTORS).union(exact(ambiguous.select(F.col("wrong").alias("data")))))
+    return found.drop("wrong")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text", "spans")
+    return substring_dedup(documents(spark, sf_dir), with_text=False).drop("spans")
 
 
 SQL = r"""
