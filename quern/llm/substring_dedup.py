@@ -369,7 +369,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
             "spans": pa.array([",".join(x) for x in factors], pa.string()),
             "wrong": pa.array([wrong][: len(texts)] + [None] * (len(texts) - 1), pa.binary()),
         }
-        return pa.table(rows | ({"kept_text": pa.array(texts, pa.large_binary()).cast(pa.large_string())} if with_text else {}))
+        return pa.table(rows | ({"kept_text": pa.array(texts, pa.binary()).cast(pa.string())} if with_text else {}))
 
     def answered(sent: DataFrame, step) -> DataFrame:
         """What every block makes of its documents and the messages to it."""
