@@ -64,9 +64,12 @@ class Vocabulary:
             part = self.library.normalizer.normalize_str(part)
         return [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
 
+    def merged_ids(self, pretoken: str) -> list[int]:
+        """The tokens that the library's own merges leave of one pre-token."""
+        return [t.id for t in self.library.model.tokenize("".join([self.byte_characters[b] for b in pretoken.encode()]))]
+
     def merged_length(self, pretoken: str) -> int:
-        """How many tokens the library's own merges leave of one pre-token."""
-        return len(self.library.model.tokenize("".join([self.byte_characters[b] for b in pretoken.encode()])))
+        return len(self.merged_ids(pretoken))
 
     def symbols(self, pretoken: str) -> list[str]:
         """A pre-token as the byte characters that merges start from, the last with the end-of-word suffix."""

@@ -13,7 +13,6 @@ length; ranks come from counts per task, never from a sort of all pieces.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -21,66 +20,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_path, vocabulary
+from .bpe import Vocabulary, vocabulary
 from .shared import checkpoint, documents
 
 VOCABULARY = "byte_bpe_50k.json"
-#: The same vocabulary as ranks, for the faster encoder.
-RANKS = "byte_bpe_50k.tiktoken"
+#: Distinct pre-tokens that a worker remembers before it starts anew.
+REMEMBERED = 800_000
 LENGTH = 1024
 END = 0
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
 
-class IdEncoder:
-    """Ids as the tokenizers library gives them, special strings included.
+class IdEncoder(dict):
+    """Pre-token -> its ids as bytes (little-endian, 32 bits each), merged by the tokenizers library and remembered.
 
-    Latin-1 texts go through the rank encoder, whose pattern and vocabulary are
-    the same there; the Unicode tables of the two libraries may differ beyond,
-    so other texts go through the tokenizers library itself.
+    Pre-tokens have no bound, so a run of millions of spaces is one of them and
+    the library's merges take it as any other; long ones are not remembered.
     """
 
-    def __init__(self, name: str, ranks: str | None):
-        self.vocab = vocabulary(name)
-        self.fast = None
-        if ranks:
-            import base64
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab = vocab
 
-            import public_tokenizers
-            import tiktoken
+    def __missing__(self, pretoken: str) -> bytes:
+        ids = _bytes(self.vocab.merged_ids(pretoken))
+        if len(pretoken) <= 64:
+            self[pretoken] = ids
+        return ids
 
-            with open(tokenizer_path(ranks), "rb") as file:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=self.vocab.special)
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as the library gives them, special strings included."""
+        out: list[bytes] = []
+        for part in self.vocab.parts(text):
+            if part in self.vocab.special:
+                out.append(_bytes([self.vocab.special[part]]))
+            elif part:
+                out += map(self.__getitem__, self.vocab.pretokens(part))
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(out)
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and len(text) == len(text.encode("latin-1", "ignore")) and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0"):
-            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
-        return np.array(self.vocab.library.encode(text, add_special_tokens=False).ids, "<u4")
 
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
-_ENCODERS: dict[tuple, IdEncoder] = {}
 
+_ENCODERS: dict[str, IdEncoder] = {}
 
-def _pieces(name: str, ranks: str | None, length: int, end: int):
+
+def _pieces(name: str, length: int, end: int):
     def rows(batches):
         from pyspark import TaskContext
 
-        if (name, ranks) not in _ENCODERS:
-            _ENCODERS[name, ranks] = IdEncoder(name, ranks)
-        encode = _ENCODERS[name, ranks]
+        if name not in _ENCODERS:
+            _ENCODERS[name] = IdEncoder(vocabulary(name))
+        encode, stop = _ENCODERS[name].encode, _bytes([end])
         task = TaskContext.get().partitionId()
         seen = [0] * (length + 1)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
-                for at in range(0, len(ids), length):
-                    piece = ids[at : at + length]
-                    for column, value in zip(out, (doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids), task, seen[len(piece)]), strict=True):
+                ids = encode(text.as_py() or "") + stop
+                for at in range(0, len(ids), 4 * length):
+                    piece = ids[at : at + 4 * length]
+                    size = len(piece) // 4
+                    for column, value in zip(out, (doc, at // 4, size, zlib.crc32(piece), len(ids) // 4, task, seen[size]), strict=True):
                         column.append(value)
-                    seen[len(piece)] += 1
+                    seen[size] += 1
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _PIECE.split(", ")])
 
@@ -147,19 +154,20 @@ def _seats(windows: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[in
     return seats
 
 
-def pack_documents(docs: DataFrame, name: str = VOCABULARY, ranks: str | None = RANKS, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, name: str = VOCABULARY, length: int = LENGTH, end: int = END) -> DataFrame:
     """Pack all documents into sequences of at most ``length`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Null and empty texts have one piece, their end id. A
-    repeated doc_id row is packed like any other; no rows give no rows. The
+    repeated or null doc_id row is packed like any other; no rows give no rows.
+    Pieces of one length take their places in the order of tasks and rows. The
     ids are the tokenizers library's for ``name`` without added tokens, then
     ``end``. Other columns are ignored. What reaches the driver is one count per
     length (at most ``length`` rows), and the plan made of it has at most
     ``length`` windows of at most 45 different lengths.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = checkpoint(texts.mapInArrow(_pieces(name, ranks, length, end), _PIECE))
+    pieces = checkpoint(texts.mapInArrow(_pieces(name, length, end), _PIECE))
     per_task = checkpoint(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     seats = _seats(plan(counts, length))
@@ -168,15 +176,17 @@ def pack_documents(docs: DataFrame, name: str = VOCABULARY, ranks: str | None =
     ranked = pieces.join(base, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("place")).alias("rank"))
 
     def seat(batches):
-        firsts = {size: [x[0] for x in rows] for size, rows in seats.items()}
+        table = {size: np.array(rows, np.int64).T for size, rows in seats.items()}
         for batch in batches:
-            sequence, offset = [], []
-            for size, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist(), strict=True):
-                first, per, base_sequence, at = seats[size][bisect.bisect_right(firsts[size], rank) - 1]
-                window, k = divmod(rank - first, per)
-                sequence.append(base_sequence + window)
-                offset.append(at + k * size)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
+            sizes, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                firsts, pers, sequences, offsets = table[size]
+                at = np.searchsorted(firsts, ranks[own], "right") - 1
+                window, k = np.divmod(ranks[own] - firsts[at], pers[at])
+                sequence[own], offset[own] = sequences[at] + window, offsets[at] + k * size
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return ranked.mapInArrow(seat, ", ".join(f"{n} long" for n in names))

@@ -136,7 +136,7 @@ def test_awkward_texts_encode_like_the_library(text):
     byte, word = bpe.vocabulary("byte_bpe_50k.json"), bpe.vocabulary("word_bpe_49k.json")
     ids = byte.library.encode(text, add_special_tokens=False).ids
     assert token_counts.Counter(byte).count(text) == len(ids)
-    assert packing.IdEncoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")(text).tolist() == ids
+    assert packing.IdEncoder(byte).encode(text) == np.array(ids, "<u4").tobytes()
     ids = word.library.encode(text, add_special_tokens=False).ids
     decoded = word.library.decode(ids, skip_special_tokens=False)
     assert bpe_codec.TrieEncoder(word).encode([text]) == [(len(ids), " ".join(map(str, ids)), decoded)]
@@ -197,6 +197,26 @@ def test_packing(docs, texts, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_of_very_long_runs_and_odd_ids(spark):
+    library = bpe.vocabulary("byte_bpe_50k.json").library
+    long = [" " * 2_000_000 + "a", "\n" * 2_000_000, "\t \r\n" * 300_000 + "❤", "x" * 500_000, "!" * 500_000]
+    rows = [*enumerate(long), (3, "again"), (3, "again"), (None, None), (None, "no id")]
+    df = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "doc_id long, text string, length int, rank int, task int").repartition(3)
+    got = packing.pack_documents(df).collect()
+    total = 0
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        pieces = {(r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i and r["doc_tokens"] == len(ids)}
+        assert pieces >= {(a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024].tobytes())) for a in range(0, len(ids), 1024)}
+    assert sum(r["length"] for r in got) == total
+    ends = defaultdict(list)
+    for r in got:
+        ends[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in ends.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(parts), [*sorted(parts)[1:], (sum(n for _, n in parts), 0)], strict=True)) and sum(n for _, n in parts) <= 1024
+
+
 def test_language(spark, data, none, docs):
     frame = spark.read.parquet(f"{data}/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in frame.select("doc_id", "lang").collect()}
