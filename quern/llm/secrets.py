@@ -3,8 +3,10 @@
 Two first-order Markov models over characters, one of random strings and one of
 ordinary identifiers, are counted from labelled samples. A run of key-like
 characters is a secret if its mean log-likelihood ratio per step exceeds a
-threshold. The ratios are one constant array, so scoring is an expression
-inside the scan and nothing is shuffled.
+threshold; of any other run the stretch of ``LEAST`` characters or more that
+exceeds it by the largest sum is, so an ordinary prefix hides no key. The ratios
+are one constant array and a run is scored in one pass over its characters, so
+scoring is an expression inside the scan and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ ASSIGN = (
 )
 #: A match is the whole run, so asking for its length in the pattern drops the same runs.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
+#: Characters that a run or a stretch of it has at least.
+LEAST = 20
 #: Runs that the models judge.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
@@ -78,35 +82,23 @@ def train(samples: DataFrame) -> list[float]:
 def spans(text: Column, pattern: str) -> Column:
     """Matches as array<struct<start, end, match>> in code points, leftmost and not overlapping.
 
-    The pieces between matches and the matches themselves alternate, so a start
-    is a sum of lengths. Sums go by blocks of about the root of their number,
-    which keeps a text with very many matches affordable.
+    The pieces between matches and the matches themselves alternate, so an end
+    is a sum of lengths. The sums double their reach from round to round, so a
+    text of very many matches costs little more than its length.
     """
-    regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
+    rounds = F.array(*[F.lit(1 << k) for k in range(31)])
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-    def positions(parts: Column) -> Column:
-        """Starts from the struct (gaps, lengths, block)."""
-        gap, size, block = parts["gaps"], parts["sizes"], parts["block"]
-        both = F.zip_with(F.slice(gap, F.lit(1), F.size(size)), size, lambda g, s: g + s)
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(size) - 1) / block).cast("int")), lambda k: total(F.slice(both, k * block + 1, block)))
-        return F.transform(
-            size,
-            lambda s, i: F.struct(
-                (total(F.slice(sums, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(both, F.floor(i / block).cast("int") * block + 1, i % block)) + F.element_at(gap, i + 1)).alias("start"),
-                s.alias("size"),
-            ),
-        )
-
-    sizes = F.transform(found, lambda m: F.char_length(m))
-    block = F.greatest(F.ceil(F.sqrt(F.size(found))).cast("int"), F.lit(1))
-    placed = F.transform(F.array(F.struct(gaps.alias("gaps"), sizes.alias("sizes"), block.alias("block"))), positions)[0]
-    joined = F.zip_with(placed, found, lambda p, m: F.struct(p["start"].alias("start"), (p["start"] + p["size"]).alias("end"), m.alias("match")))
-    return F.when(text.rlike(pattern), joined).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    def placed(x: Column) -> Column:
+        """Matches with their place, from the struct (gaps, found)."""
+        steps = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["found"])), x["found"], lambda g, m: g + F.char_length(m))
+        reach = F.filter(rounds, lambda k: k < F.size(x["found"]))
+        ends = F.aggregate(reach, steps, lambda sums, k: F.zip_with(sums, F.slice(F.concat(F.array_repeat(F.lit(0), k), sums), F.lit(1), F.size(sums)), lambda a, b: a + b))
+        return F.zip_with(ends, x["found"], lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    all_ = F.transform(F.array(F.struct(gaps.alias("gaps"), found.alias("found"))), placed)[0]
+    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
 def _listed(found: Column, order: int, kind: str) -> Column:
@@ -123,20 +115,48 @@ def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESH
     Returns one row per input row: doc_id, n_assign, n_access, n_hex,
     base_sha256, spans. Spans are kind:start:end in code points, end exclusive,
     by start and then kind (assign, access, hex, markov). A markov span is a
-    run of key-like characters that the models call random; base spans stay
-    beside it. Null and empty texts have no spans. Other columns are ignored.
+    run of key-like characters that the models call random, or the most random
+    stretch of one; base spans stay beside it. Null and empty texts have no
+    spans, a table without rows gives none, repeated rows and null ids are rows
+    like any other, and time grows with a text's length, however long its runs
+    are. Other columns are ignored.
     """
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
-    def score(run: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.char_length(run) - 1)
-        one = F.aggregate(
-            steps, F.lit(0.0), lambda s, i: s + F.element_at(weights, (_at(run, i) * STATES + _at(run, i + 1) + 1).cast("int"))
-        )
-        return one / (F.char_length(run) - 1)
-
-    def _at(run: Column, i: Column) -> Column:
-        return F.call_function("instr", F.lit(ALPHABET), F.substr(run, i, F.lit(1)))
+    def random_part(run: Column) -> Column:
+        """Start and end of what is random in a run, or null: one pass that sums ratios and keeps the best stretch."""
+
+        def state(prev, place, total, now, since, best, lo, hi) -> Column:
+            values = (prev.cast("int"), place.cast("int"), total.cast("double"), now.cast("double"), since.cast("int"), best.cast("double"), lo.cast("int"), hi.cast("int"))
+            return F.struct(*[v.alias(n) for v, n in zip(values, ("prev", "place", "total", "now", "since", "best", "lo", "hi"), strict=True)])
+
+        def step(s: Column, c: Column) -> Column:
+            begun = s["prev"] > 0
+            ratio = F.when(begun, F.element_at(weights, s["prev"] * STATES + c + 1)).otherwise(0.0)
+            goes_on = begun & (s["now"] > 0)
+            excess = F.when(begun, ratio - threshold).otherwise(0.0)
+            return F.transform(
+                F.array(F.struct(ratio.alias("ratio"), F.when(goes_on, s["now"] + excess).otherwise(excess).alias("now"), F.when(goes_on, s["since"]).otherwise(F.greatest(s["place"] - 1, F.lit(0))).alias("since"))),
+                lambda x: _with_best(s, c, x),
+            )[0]
+
+        def _with_best(s: Column, c: Column, x: Column) -> Column:
+            better = (x["now"] > s["best"]) & (s["place"] + 1 - x["since"] >= LEAST)
+            pick = lambda new, old: F.when(better, new).otherwise(old)
+            return state(c, s["place"] + 1, s["total"] + x["ratio"], x["now"], x["since"], pick(x["now"], s["best"]), pick(x["since"], s["lo"]), pick(s["place"] + 1, s["hi"]))
+
+        def judged(s: Column) -> Column:
+            whole = F.struct(F.lit(0).alias("lo"), s["place"].alias("hi"))
+            return F.when(s["total"] / (s["place"] - 1) > threshold, whole).when(s["best"] > 0, F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+
+        codes = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
+        zero = F.lit(0)
+        return F.aggregate(codes, state(*[zero] * 8), step, judged)
+
+    def markov(found: Column) -> Column:
+        parts = F.transform(found, lambda s: F.struct(s["start"].alias("start"), random_part(s["match"]).alias("part")))
+        parts = F.filter(parts, lambda s: s["part"].isNotNull())
+        return F.transform(parts, lambda s: F.struct((s["start"] + s["part"]["lo"]).alias("start"), (s["start"] + s["part"]["hi"]).alias("end")))
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
@@ -150,7 +170,7 @@ def find_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESH
         assign.alias("assign"),
         spans(t, ACCESS).alias("access"),
         spans(t, HEX).alias("hex"),
-        F.filter(spans(t, RUN), lambda s: score(s["match"]) > threshold).alias("markov"),
+        markov(spans(t, RUN)).alias("markov"),
     )
     base = F.concat(_listed(F.col("assign"), 0, "assign"), _listed(F.col("access"), 1, "access"), _listed(F.col("hex"), 2, "hex"))
     return found.select(
