@@ -1,30 +1,37 @@
 """Personal data: detection and keyed surrogates of the same type.
 
-A surrogate is a keyed permutation without fixed points of the strings of the
-entity's shape (each digit, small and capital letter stays one, separators
-stay). So no entity stays as it is, different entities always get different
-surrogates and equal ones get equal surrogates in every document, without any
-table. Card numbers keep a valid check digit, addresses keep their octets in
-range, mail addresses keep their top-level domain.
-
-Names after a title are replaced word by word, so a surname has one surrogate
-whatever first name or title goes with it. A first name of the list for the
-title's gender becomes another of that list. Any other word has its letters
-permuted within vowels, consonants or the letters of their script, except the
-last one, whose ending shows gender in many languages.
-
-A word of such a name is replaced by the same surrogate wherever else the
-document has it as a whole word, before or after the title.
-
-Each document is then checked: a surrogate that is itself an entity of the
-document is drawn again until it is neither that nor another surrogate there.
+A surrogate depends on nothing but the secret key and the entity's identity:
+its letters without case and its digits without separators. It is a keyed
+permutation without fixed points of the strings of the same shape, in any
+script. So equal entities, however they are written, get equal surrogates in
+every document, different ones different surrogates, and none stays as it is,
+without any table and whatever else a document holds. Where only part of a
+shape may be used (valid card numbers, public addresses, words that are no
+listed name), the permutation is walked on until it is back in that part, which
+keeps it one; that walk is the check against collisions. ``collisions`` proves
+the outcome on a corpus.
+
+Cards and IBANs keep valid check digits, phone numbers their country code,
+addresses the kind of range they lie in, mail addresses their top-level domain.
+
+Names are found after a title, after a phrase that introduces one, and where a
+listed first name stands before a capitalised word. Each word of a name has one
+surrogate: a listed first name becomes another of its gender and script; any
+other word has its letters permuted within vowels, consonants or the letters of
+their script, except the last one, whose ending shows gender in many languages.
+A word of a name is replaced wherever else the document has it as a whole word.
+
+Who knows the key can undo all surrogates; there is no default key.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,47 +40,77 @@ from pyspark.sql import functions as F
 
 from .shared import documents
 
-KEY = "quern-surrogates"
-#: Draws within an entity's shape before its document may use a longer surrogate.
-MANY_DRAWS = 256
+#: Setting of the session that holds the secret key.
+KEY_SETTING = "spark.quern.surrogates.key"
 
-#: Titles by gender (fixed values); a title without one is neutral.
-TITLES = {
-    "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Señorita Signora Sig.ra Госпожа",
-    "m": "Mr Herr Monsieur Señor Sr Signor Господин",
-    "n": "Dr Prof",
-}
-#: Names by script and gender (fixed values).
+#: Titles (fixed values).
+TITLES = "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Señorita Signora Sig.ra Госпожа Mr Herr Monsieur Señor Sr Signor Господин Dr Prof"
+#: Phrases before a name (fixed values).
+INTRODUCTIONS = ("[Mm]y name is", "[Nn]ame:", "[Mm]ein Name ist", "[Ii]ch heiße", "[Jj]e m['’]appelle", "[Mm]e llamo", "[Mm]eu nome é", "[Mm]i chiamo", "[Мм]еня зовут")
+#: Words inside names that stay (fixed values).
+PARTICLES = "de del della der den di da do dos du la le los van von vom zu zur ten ter al el bin ibn y e"
+#: First names by script and gender (fixed values); no word is in two lists.
 FIRST = {
-    ("latin", "f"): "Anna Clara Elena Greta Helen Ines Julia Laura Maria Nora Paula Rosa Sofia Teresa Vera",
-    ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Jonas Leo Martin Oscar Paul Robert Simon Victor",
-    ("latin", "n"): "Alex Andrea Charlie Dominique Kim Robin Sacha Toni",
-    ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Ольга",
-    ("cyrillic", "m"): "Антон Борис Денис Иван Олег Павел Юрий",
+    ("latin", "f"): "Alice Amelia Anna Beatrice Camille Carmen Caroline Catherine Charlotte Clara Claire Denise Diana Elena Elisabeth Elizabeth Emily Emma Eva Fiona Greta Hannah Helen Helga Ines Ingrid Isabel Jane Jennifer Jessica Johanna Juana Julia Karin Laura Linda Lucia Lucy Margaret Maria Marie Martha Mary Monica Nadia Nicole Nora Olivia Patricia Paula Petra Rachel Rebecca Rosa Sandra Sarah Sofia Sophie Susan Teresa Ursula Vera",
+    ("latin", "m"): "Adam Albert Alfonso Andrew Anthony Antonio Benjamin Brian Bruno Carl Carlos Charles Christopher Daniel David Diego Edward Emil Enrique Eric Felix Fernando François Frank George Hans Henry Hugo Jacques James Javier Jean John Jonas Jorge José Joseph Juan Jürgen Kevin Klaus Leo Luis Manuel Martin Matthew Michael Miguel Oscar Paul Pedro Peter Philip Pierre Richard Robert Simon Stefan Stephen Thomas Victor Walter William Wolfgang",
+    ("latin", "n"): "Alex Andrea Charlie Dominique Kim Robin Sacha Sascha Toni",
+    ("cyrillic", "f"): "Анна Вера Галина Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна",
+    ("cyrillic", "m"): "Александр Алексей Антон Борис Владимир Денис Дмитрий Иван Михаил Николай Олег Павел Сергей Юрий",
     ("cyrillic", "n"): "Саша Женя Валя",
 }
-#: Vowels and consonants by script and case (fixed values); a letter that is not here moves among its neighbours.
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ")
-
+#: Vowels and consonants by script (fixed values); a letter that is not here moves among its neighbours.
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
+#: Telephone country codes of one and two digits (fixed values); all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+#: Ranges of addresses that are not public, and the one of public addresses of the longer kind (fixed values).
+SPECIAL = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 ::/8 2001:db8::/32 fc00::/7 fe80::/10 ff00::/8 2000::/3"
+
+_DIGITS, _SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _ranges(characters: list[int]) -> str:
+    """Code points as ranges of a character class."""
+    out, begin = [], None
+    for a, b in zip(characters, [*characters[1:], -1], strict=True):
+        begin = a if begin is None else begin
+        if b != a + 1:
+            out.append(f"{chr(begin)}-{chr(a)}")
+            begin = None
+    return "".join(out)
+
+
+_MARKS = _ranges([c for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc")])
+_UPPER = _ranges([c for c in range(0x41, 0x2000) if unicodedata.category(chr(c)) == "Lu"])
+_W, _L = rf"\w{_MARKS}", rf"(?:[^\W\d_]|[{_MARKS}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts.split())
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts.split()}
+#: An apostrophe inside a name, which that of a final 's is not.
+_APOSTROPHE = r"['’](?!s(?!\w))"
+_WORD = rf"[{_UPPER}](?:\.|(?:(?:{_APOSTROPHE})?{_L})+(?:-{_L}+)*|(?!\w))"
+_PARTICLE = "|".join(PARTICLES.split())
+_NAME = rf"{_WORD}(?: (?:(?:{_PARTICLE}) ){{0,2}}{_WORD}){{0,2}}"
+_TITLE = "|".join(re.escape(t) for t in TITLES.split())
 #: Kinds in order of precedence where two could begin at one place.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+    "email": rf"(?<![{_W}.%+-])[{_W}%+-]+(?:\.[{_W}%+-]+)*@(?:[{_W}](?:[{_W}-]*[{_W}])?\.)+{_L}{{2,}}(?![{_W}-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.[0-9])",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?<![^:]:)(?![\w:]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![\w]|-[0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])",
-    "name": rf"(?:(?<=\s)|(?<=^)|(?<=[(\"'«]))(?:{_TITLE})\.? (?:[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-z][^\W\d_]+)?",
+    "name": rf"(?<!\w)(?:(?:(?:{_TITLE})\.?|{'|'.join(INTRODUCTIONS)}) (?P<called>(?:(?:{_PARTICLE}) ){{0,2}}{_NAME})|(?P<given>{_WORD}) (?:(?:{_PARTICLE}) ){{0,2}}{_WORD})",
 }
-FOUND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-#: Every entity has one of these; texts without any need no closer look.
-HINT = re.compile(rf"[@0-9]|(?:{_TITLE})\.? ")
-#: Words as names have them, with hyphens inside.
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
-_SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+EMAIL, NAME = re.compile(PATTERNS["email"]), re.compile(PATTERNS["name"])
+NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k not in ("email", "name")))
+#: Where a name may begin: a capitalised word or an introduction.
+CAPITALISED = re.compile(rf"[{_UPPER}](?<!\w\w){_L}*(?:\.ra)?")
+INTRODUCED = re.compile("|".join(INTRODUCTIONS))
+DIGIT = re.compile("[0-9]")
+#: Words as names have them, with hyphens and apostrophes inside.
+WORD = re.compile(rf"(?<!\w){_L}+(?:(?:-|{_APOSTROPHE}){_L}+)*(?!\w)")
+_TITLES = frozenset(TITLES.split())
+_LISTS = {name.lower(): [n.lower() for n in names.split()] for names in FIRST.values() for name in names.split()}
+_STARTS = _TITLES | {form for name in _LISTS for form in (name.capitalize(), name.upper())}
 
 
 def _round(half: int, r: int, right: int, key: bytes, tweak: str) -> int:
@@ -118,35 +155,72 @@ def _within(text: str, classes: list[str], key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
-def shape_surrogate(text: str, key: bytes, tweak: str) -> str:
-    """The text with its ASCII letters and digits permuted within strings of the same shape."""
-    classes = [next((s for s in _SETS if c in s), c) for c in text]
-    shape = "".join(str(_SETS.index(s)) if s in _SETS else "-" for s in classes)
-    return _within(text, classes, key, f"{tweak}|{shape}")
+def _walked(text: str, move: Callable[[str], str], belongs: Callable[[str], bool]) -> str:
+    """Moves on until the outcome is on the same side of a property; a permutation of either side."""
+    side, made = belongs(text), move(text)
+    while belongs(made) != side:
+        made = move(made)
+    return made
 
 
-@lru_cache(4096)
-def _letters(c: str) -> str:
-    """The letters that may stand for a letter of a name: its own kind, or its 64 neighbours of the same category."""
-    for s in LETTERS:
-        if c in s:
-            return s
+@lru_cache(8192)
+def _neighbours(c: str) -> str:
+    """The characters that may stand for a letter or digit beyond ASCII: among the 64 around it those of its category and without another case."""
     first = ord(c) & ~63
-    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == unicodedata.category(c) and not any(x in s for s in LETTERS))
-
-
-def name_surrogate(word: str, listed: list[str], key: bytes, tweak: str) -> str:
-    """Another word of the list for one of its words; any other word becomes one that is not in the list."""
-    if word in listed:
-        return listed[derange(listed.index(word), len(listed), key, f"{tweak}|listed")]
-    classes = [_letters(c) if c.isalpha() else c for c in word]
-    if sum(len(s) > 1 for s in classes[:-1]):
-        classes[-1] = word[-1]
-    form = f"{tweak}|{'|'.join(classes)}"
-    made = _within(word, classes, key, form)
-    while made in listed:  # walk on, so that two words never meet
-        made = _within(made, classes, key, form)
-    return made
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == unicodedata.category(c) and x.lower() == x and not any(x in s for s in LETTERS)) or c
+
+
+def _plain_class(c: str) -> str:
+    """What a character of an address or number moves within: digits, small letters, the letters around it, or itself."""
+    return next((s for s in (_DIGITS, _SMALL) if c in s), None) or (_neighbours(c) if c.isalnum() and c not in "".join(LETTERS) else next((s for s in LETTERS if c in s), c))
+
+
+def _name_class(c: str) -> str:
+    return next((s for s in LETTERS if c in s), None) or (_neighbours(c) if c.isalpha() else c)
+
+
+def _shaped(text: str, key: bytes, tweak: str) -> str:
+    """Small letters and digits of every script permuted within strings of the same shape."""
+    classes = [_plain_class(c) for c in text]
+    shape = hashlib.blake2b("\0".join(classes).encode(), digest_size=16).hexdigest()
+    return _within(text, classes, key, f"{tweak}|{shape}")
+
+
+def _lower(text: str) -> str:
+    """Small letters, one for one; a letter whose small form is several stays."""
+    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _cased(made: str, like: str) -> str:
+    """Capitals where the original has them."""
+    return "".join(u if o != o.lower() and len(u := m.upper()) == 1 else m for m, o in zip(made, like, strict=True))
+
+
+def _dressed(digits: str, like: str) -> str:
+    """The digits with the original's separators."""
+    rest = iter(digits)
+    return "".join(next(rest) if "0" <= c <= "9" else c for c in like)
+
+
+def word_surrogate(word: str, key: bytes) -> str:
+    """Another listed name of the same list for a listed one; for any other word one that no list has."""
+    small = _lower(word)
+    if small in _LISTS:
+        names = _LISTS[small]
+        made = names[derange(names.index(small), len(names), key, f"listed|{names[0]}")]
+        return made.upper() if word.isupper() else made.capitalize() if word[0].isupper() else made
+
+    def move(text: str) -> str:
+        classes = [_name_class(c) for c in text]
+        parts = re.split(r"([-'’])", text)
+        # the ending stays where others can move, and so does a short first part as in O'
+        if any(len(s) > 1 for s in classes[:-1]):
+            classes[-1] = text[-1]
+        if len(parts) > 1 and len(parts[0]) == 1 and any(len(s) > 1 for s in classes[1:]):
+            classes[0] = text[0]
+        return _within(text, classes, key, f"word|{'|'.join(classes)}")
+
+    return _cased(_walked(small, move, lambda x: x in _LISTS), word)
 
 
 def luhn(digits: str) -> bool:
@@ -157,60 +231,130 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one entity; ``attempt`` draws another."""
-    tweak = f"{kind}|{attempt}"
-    if kind == "email":
-        local, _, domain = text.rpartition("@")
-        host, _, top = domain.rpartition(".")
-        return f"{shape_surrogate(local + '@' + host, key, tweak)}.{top}"
-    if kind == "ip":
-        octets = [int(x) for x in text.split(".")]
-        value = derange(int.from_bytes(bytes(octets), "big"), 1 << 32, key, tweak)
-        return ".".join(map(str, value.to_bytes(4, "big")))
-    if kind == "card":
-        digits = re.sub(r"\D", "", text)
-        if not luhn(digits):
-            out = shape_surrogate(text, key, tweak)
-            while luhn(re.sub(r"\D", "", out)):  # walk on: numbers without a valid check digit stay among themselves
-                out = shape_surrogate(out, key, tweak)
-            return out
-        body = shape_surrogate(text[:-1], key, tweak)
-        return next(body + c for c in "0123456789" if luhn(re.sub(r"\D", "", body + c)))
-    if kind == "name":
-        title, _, name = text.partition(" ")
-        *first, last = name.split(" ")
-        script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
-        gender = _GENDER[title if title in _GENDER else title.rstrip(".")]
-        given = [name_surrogate(w, FIRST[script, gender].split(), key, f"{tweak}|{gender}") for w in first]
-        return " ".join([title, *given, name_surrogate(last, [], key, tweak)])
-    if kind in ("phone", "iban"):  # country codes stay
-        lead = re.match(r"\+[0-9]{1,3}(?=\D)|[A-Z]{2}|", text)[0]
-        return lead + shape_surrogate(text[len(lead) :], key, tweak)
-    return shape_surrogate(text, key, tweak)
-
-
-def _longer(kind: str, made: str, key: bytes, tweak: str) -> str:
-    """A surrogate outside its entity's shape, for a document that uses up the strings of a short shape."""
-    letters = shape_surrogate("aaaaaaaa", key, tweak)
-    if kind == "email":
-        return f"{letters}.{made}"
-    if kind == "phone":
-        return f"{made}-{shape_surrogate('0000', key, tweak)}"
-    return f"{made}-{letters.capitalize()}" if kind == "name" else made
+def _card(text: str, key: bytes) -> str:
+    digits = re.sub(r"\D", "", text)
+    if luhn(digits):  # the first digit names the industry
+        body = digits[0] + _shaped(digits[1:-1], key, "card")
+        return _dressed(next(body + c for c in _DIGITS if luhn(body + c)), text)
+    return _dressed(_walked(digits, lambda d: _shaped(d, key, "no card"), luhn), text)
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    """Entities as (kind, start, end), leftmost first and not overlapping."""
-    if not HINT.search(text):
-        return []
-    return [(m.lastgroup, m.start(), m.end()) for m in FOUND.finditer(text)]
+def iban_check(country: str, account: str) -> str:
+    """The two check digits."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country) + '00') % 97:02d}"
+
+
+def _iban(text: str, key: bytes) -> str:
+    plain = text.replace(" ", "")
+    country, check, account = plain[:2], plain[2:4], plain[4:]
+    made = _shaped(account.lower(), key, f"iban|{country}").upper()
+    right, valid = iban_check(country, account), iban_check(country, made)
+    others = [f"{k:02d}" for k in range(100)]
+    if check != right:  # wrong digits become wrong ones
+        valid = [c for c in others if c != valid][[c for c in others if c != right].index(check)]
+    rest = iter(country + valid + made)
+    return "".join(c if c == " " else next(rest) for c in text)
+
+
+@lru_cache(1)
+def _special():
+    return [ipaddress.ip_network(x) for x in SPECIAL.split()]
+
+
+def _range_of(ip):
+    """The first special range that holds an address, else all addresses of its length."""
+    return next((net for net in _special() if ip in net), ipaddress.ip_network(f"{type(ip)(0)}/0"))
+
+
+def _address(text: str, key: bytes) -> str:
+    ip = ipaddress.ip_address(text)
+    bits, net = ip.max_prefixlen, _range_of(ip)
+    low, made = int(net.network_address), int(ip)
+    while True:  # walk on over addresses of other ranges
+        made = low + derange(made - low, net.num_addresses, key, f"ip|{net}")
+        if _range_of(type(ip)(made)) == net:
+            break
+    new = type(ip)(made)
+    shown = new.exploded if bits == 128 and "::" not in text and all(len(g) == 4 for g in text.split(":")) else str(new)
+    return shown.upper() if text != text.lower() else shown
+
 
+def _phone(text: str, key: bytes) -> str:
+    digits = re.sub(r"\D", "", text)
+    code = ""
+    if text.startswith("+"):
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES.split()), digits[:3])
+    rest = digits[len(code) :]
+    zeros = len(rest) - len(rest.lstrip("0"))
+    zeros = min(zeros, max(len(rest) - 1, 0))
+    return _dressed(code + rest[:zeros] + _shaped(rest[zeros:], key, f"phone|{code}|{zeros}"), text) if rest else text
 
-def _with_mentions(text: str, entities: list[tuple[str, int, int]], words: dict[str, str]) -> list[tuple[str, int, int]]:
-    """The entities and, between them, every whole word of a name that the document has with a title."""
+
+def _ssn(text: str, key: bytes) -> str:
+    def issued(d: str) -> bool:
+        return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+    return _dressed(_walked(text.replace("-", ""), lambda d: _shaped(d, key, "ssn"), issued), text)
+
+
+def _email(text: str, key: bytes) -> str:
+    rest, _, top = _lower(text).rpartition(".")
+    return _cased(f"{_shaped(rest, key, 'email')}.{top}", text)
+
+
+def _name(text: str, key: bytes) -> str:
+    """A name without its title, word by word; particles stay."""
+    return re.sub(rf"{_L}+(?:[-'’]{_L}+)*", lambda m: m[0] if m[0] in PARTICLES.split() else word_surrogate(m[0], key), text)
+
+
+_MAKERS = {"email": _email, "iban": _iban, "ip": _address, "ipv6": _address, "ssn": _ssn, "card": _card, "phone": _phone, "name": _name}
+
+
+def surrogate(kind: str, text: str, key: bytes) -> str:
+    """The replacement of one entity (of a name without its title)."""
+    return _MAKERS[kind](text, key)
+
+
+def _ipv6(text: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(text) is not None and any(c.isdigit() for c in text) and len([g for g in text.split(":") if g]) > 1
+    except ValueError:
+        return False
+
+
+def _names(text: str) -> list[tuple[int, int]]:
+    """Names without their title; a listed first name counts where a capitalised word follows."""
+    starts = [m.start() for m in CAPITALISED.finditer(text) if m[0] in _STARTS]
+    if INTRODUCED.search(text):
+        starts = sorted(starts + [m.start() for m in INTRODUCED.finditer(text)])
     found, at = [], 0
-    for entity in [*entities, (None, len(text), len(text))]:
+    for start in starts:
+        m = NAME.match(text, start) if start >= at else None
+        if m and (m["called"] is not None or _lower(m["given"]) in _LISTS):
+            at = m.end()
+            found.append((start if m["called"] is None else m.start("called"), at))
+    return found
+
+
+def find(text: str) -> list[tuple[str, int, int]]:
+    """Entities as (kind, start, end), leftmost first and not overlapping; a name's title is not part of it."""
+    found = [("name", a, b) for a, b in _names(text)]
+    if "@" in text:
+        found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    if DIGIT.search(text):
+        found += [(m.lastgroup, m.start(), m.end()) for m in NUMBERS.finditer(text) if m.lastgroup != "ipv6" or _ipv6(m[0])]
+    rank, kept, at = list(PATTERNS), [], 0
+    for kind, start, end in sorted(found, key=lambda x: (x[1], rank.index(x[0]))):
+        if start >= at:
+            kept.append((kind, start, end))
+            at = end
+    return kept
+
+
+def _with_mentions(text: str, entities: list[tuple[str, int, int]], words: set[str]) -> list[tuple[str, int, int]]:
+    """The entities and, between them, every whole word of a name that the document has."""
+    found, at = [], 0
+    for entity in [*entities, ("", len(text), len(text))]:
         found += [("name", m.start(), m.end()) for m in WORD.finditer(text, at, entity[1]) if m[0] in words]
         at = entity[2]
         found.append(entity)
@@ -220,30 +364,12 @@ def _with_mentions(text: str, entities: list[tuple[str, int, int]], words: dict[
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]], list[tuple[int, int]]]:
     """The text with surrogates, the entities found, and the spans of their surrogates in the new text."""
     entities = find(text)
-    if not entities:
-        return text, [], []
-    kinds = {text[a:b]: k for k, a, b in entities}
-    taken = {entity: surrogate(kind, entity, key) for entity, kind in kinds.items()}
-    used = set(taken.values())
-    for entity in sorted(e for e, made in taken.items() if made in kinds):
-        attempt, made = 0, taken[entity]
-        while made in kinds or made in used:
-            attempt += 1
-            made = surrogate(kinds[entity], entity, key, attempt)
-            if attempt > MANY_DRAWS:
-                made = _longer(kinds[entity], made, key, f"{entity}|{attempt}")
-        taken[entity] = made
-        used.add(made)
-    words = {}
-    for kind, a, b in entities:
-        if kind == "name":
-            for word, made in zip(text[a:b].split(" ")[1:], taken[text[a:b]].split(" ")[1:], strict=True):
-                words.setdefault(word, made)
+    words = {w for kind, a, b in entities if kind == "name" for w in WORD.findall(text[a:b]) if w not in PARTICLES.split() and len(w) > 1}
     if words:
-        entities = _with_mentions(text, entities, words)
+        entities = _with_mentions(text, entities, words | {w.upper() for w in words})
     parts, at, spans, size = [], 0, [], 0
     for kind, a, b in entities:
-        new = taken[text[a:b]] if text[a:b] in taken else words[text[a:b]]
+        new = surrogate(kind, text[a:b], key)
         parts += [text[at:a], new]
         size += a - at
         spans.append((size, size + len(new)))
@@ -252,25 +378,38 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]], lis
     return "".join([*parts, text[at:]]), entities, spans
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, passing: list[str] | None = None) -> DataFrame:
+def secret(key: str | bytes) -> bytes:
+    """The key that surrogates are made with."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    return hashlib.blake2b(key.encode() if isinstance(key, str) else key, digest_size=32).digest()
+
+
+def session_key(spark: SparkSession) -> str | bytes:
+    """The session's secret key, else one drawn for this call, with which surrogates differ from every other run's."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_bytes(32)
+
+
+def replace_entities(docs: DataFrame, key: str | bytes, passing: list[str] | None = None) -> DataFrame:
     """Replace personal data in every whole text by surrogates.
 
     Returns one row per input row: doc_id, the ``passing`` columns, text (with
     surrogates), n_entities, entities (kind:start:end in the new text,
     comma-joined). Null text stays null and has no entities, an empty text stays
-    empty. Equal entities get equal surrogates whatever row they are in, and
-    different ones different surrogates, unless a row's own check made it draw
-    again. Other columns are ignored.
+    empty; texts of any length are taken whole, a table without rows gives none.
+    Equal entities get equal surrogates whatever row they are in, different ones
+    different surrogates; repeated rows get equal results, null ids are ids like
+    any other. Other columns are ignored.
     """
     passing = passing or []
-    secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
+    made_with = secret(key)
 
     def rows(batches):
         for batch in batches:
             texts, counts, spans = [], [], []
             for x in batch.column("text"):
                 text = x.as_py()
-                new, found, at = (None, [], []) if text is None else replace(text, secret)
+                new, found, at = (None, [], []) if text is None else replace(text, made_with)
                 texts.append(new)
                 counts.append(len(found))
                 spans.append(",".join(f"{k}:{a}:{b}" for (k, _, _), (a, b) in zip(found, at, strict=True)))
@@ -283,5 +422,25 @@ def replace_entities(docs: DataFrame, key: str = KEY, passing: list[str] | None
     return source.mapInArrow(rows, schema)
 
 
+def entities(docs: DataFrame, key: str | bytes) -> DataFrame:
+    """The distinct entities of a corpus as (kind, entity, surrogate); null and empty texts have none."""
+    made_with = secret(key)
+
+    def rows(batches):
+        for batch in batches:
+            seen = {(k, t[a:b]) for x in batch.column("text") if (t := x.as_py()) for k, a, b in replace(t, made_with)[1]}
+            listed = [(k, e, surrogate(k, e, made_with)) for k, e in sorted(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in listed], pa.string()) for i in range(3)], names=["kind", "entity", "surrogate"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "kind string, entity string, surrogate string").distinct()
+
+
+def collisions(docs: DataFrame, key: str | bytes) -> DataFrame:
+    """Surrogates that two different entities of a corpus share, and entities that stay: none, by construction."""
+    found = entities(docs, key)
+    twice = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "surrogate")
+    return twice.union(found.where("entity = surrogate").select("kind", "surrogate"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(documents(spark, sf_dir))
+    return replace_entities(documents(spark, sf_dir), session_key(spark))

@@ -11,6 +11,9 @@ from test_dedup import SPLIT, components, plain_fingerprint
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+KEY = "a key of the tests"
+
+
 def test_stages(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns
@@ -47,8 +50,6 @@ def test_stages_take_nulls_repeats_and_no_rows(spark, data, stage):
 
 def plain_pipeline(rows):
     """Texts by doc_id that reach packing, by brute force."""
-    from hashlib import blake2b
-
     from quern.llm import pii
 
     docs = {i: t for i, t in rows if t and any(unicodedata.category(c)[0] == "L" for c in t)}
@@ -59,14 +60,15 @@ def plain_pipeline(rows):
     ids = sorted(i for _, i in best.values())
     prints = [plain_fingerprint(docs[i]) for i in ids]
     roots = components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
-    key = blake2b(pii.KEY.encode(), digest_size=32).digest()
+    key = pii.secret(KEY)
     return {i: pii.replace(docs[i], key)[0] for k, i in enumerate(ids) if roots[k] == k}
 
 
 def test_run_equals_brute_force(spark, data):
-    from quern.llm import bpe
+    from quern.llm import bpe, pii
 
     library = bpe.vocabulary("byte_bpe_50k.json").library
+    spark.conf.set(pii.KEY_SETTING, KEY)
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in plain_pipeline(documents).items()}
     assert 0 < len(want) < len(documents)
