@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.language import UNDECIDED, identify, train, with_letters
 from quern.llm.packing import pack_documents
-from quern.llm.pii import replace_entities
+from quern.llm.pii import replace_entities, session_key
 from quern.llm.shared import checkpoint
 from quern.llm.simhash import simhash_dedup
 
@@ -61,8 +61,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
-    replaced = replace_entities(docs, passing=["lang", "source"])
+    """All documents, with surrogates for personal data by the session's key; repeated rows and null ids stay as they are."""
+    replaced = replace_entities(docs, session_key(spark), passing=["lang", "source"])
     return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
