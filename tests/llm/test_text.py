@@ -345,3 +345,66 @@ def test_language(spark, data, none, docs):
 def test_unlabelled_table_is_undecided(spark):
     df = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.language_id(df).collect()} == {"und"}
+
+
+def plain_features(text):
+    """n-grams of the letters, spaces for all else, counted one by one."""
+    import unicodedata
+
+    kept = []
+    for c in text.lower():
+        if unicodedata.category(c)[0] == "L":
+            kept.append(ord(c))
+        elif kept and kept[-1] != 32:
+            kept.append(32)
+    if not any(c != 32 for c in kept):
+        return None
+    kept = [32, *kept, 32]
+    out = np.zeros(language.SIZE)
+    for order in language.ORDERS:
+        for i in range(len(kept) - order + 1):
+            h = 0
+            for k, c in enumerate(kept[i : i + order]):
+                h = c if k == 0 else (h * 0x100000001B3 + c) % 2**64
+            out[((h + order) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % language.SIZE] += 1
+    out = np.sqrt(out)
+    return out / np.linalg.norm(out)
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 1])
+def test_features_of_pieces_are_those_of_the_whole(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    for text in ("", "a", " ?", "12 ab, cd!  Über-text 中文 \U00020000x ", "the quick brown fox " * 5, "...a"):
+        want, got = plain_features(text), language.features(text)
+        assert (want is None) == (got is None) == (not language.has_letter(text))
+        assert want is None or np.allclose(want, got, atol=1e-6)
+
+
+def test_many_languages_train(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, alphabets = [], {}
+    for k in range(500):
+        alphabets[f"x{k:03}"] = [chr(0x4E00 + 12 * k + j) for j in range(12)]
+    for i in range(4000):
+        lang = f"x{i % 500:03}"
+        rows.append((i, " ".join("".join(rng.choices(alphabets[lang], k=3)) for _ in range(12)), lang, 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, grp int").repartition(4)
+    model = language.train(df, rows=1500)
+    machines = sum(len(m[0]) for m in model.machines.values())
+    assert len(model.langs) == 500 and machines < 5 * 500 and max(map(len, model.machines)) <= 2 * language.WIDTH
+    hit = sum(model.predict(t)[0] == lang for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2)
+    assert hit > 0.8 * sum(zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows)
+    few = language.train(df, labels=3)
+    assert len(few.langs) == 3
+
+
+def test_language_of_repeated_null_and_long_rows(spark):
+    german, english = "der kleine Hund lief über die alte Brücke und schlief", "the little dog ran over that old bridge and slept"
+    rows = [(i, german if i % 2 else english, "de" if i % 2 else "en", 7) for i in range(40)]
+    rows += [(None, german, None, 7), (None, None, None, 7), (3, german, "de", 7), (3, german, "de", 7), (50, english * 60_000, None, 7), (51, "", "en", 7)]
+    got = language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")).collect()
+    assert len(got) == len(rows)
+    assert Counter((r["lang_pred"], r["held_out"]) for r in got if r["doc_id"] is None) == {("de", False): 1, ("und", False): 1}
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] in (3, 50, 51)} == {3: "de", 50: "en", 51: "und"}
