@@ -6,7 +6,8 @@ rotate the unit vector, and the hash is the coordinate of largest magnitude
 with its sign. A class lives in one bucket per table and also probes the
 buckets where the runner-up coordinate replaces one hash. Classes that meet are
 candidates; their cosine in double precision decides, so every link is true.
-Buckets with many residents are cut into tiles, so no task holds a whole one.
+Residents and probes of a crowded bucket are cut into parts of about ``TILE``
+rows, and a task compares two parts at a time, never a whole bucket.
 Of residents a tile returns how many links each has and one link to its local
 component, so a group of near copies gives rows in proportion to its size; a pair
 met by a probe may be met again elsewhere, so these are listed and made distinct.
@@ -25,11 +26,11 @@ from .shared import checkpoint, connected_components, join_hot, shuffle_partitio
 from .simhash import _merge
 
 COSINE = 0.93
-TABLES = 10
+TABLES = 6
 HASHES = 2
 PROBES = 2
 SEED = 7
-#: Residents of a bucket per tile.
+#: Residents or probes of a bucket per part.
 TILE = 1024
 
 #: ``near`` is null for a pair of classes, else the weight of the links that class a has in a tile; b is then in its component.
@@ -108,8 +109,21 @@ def _hash_rows(tables: int, hashes: int, probes: int, seed: int):
     return rows
 
 
+def _pairs(first: np.ndarray, begin: np.ndarray, end: np.ndarray, limit: int):
+    """For each row of ``first`` its partners, the rows from begin to end, as (i, j) arrays of about ``limit`` pairs."""
+    sizes = np.maximum(end - begin, 0)
+    total, at = np.cumsum(sizes), 0
+    while at < len(first):
+        done = total[at - 1] if at else 0
+        to = max(int(np.searchsorted(total, done + limit, "right")), at + 1)
+        n = sizes[at:to]
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(first[at:to], n), np.repeat(begin[at:to], n) + offset
+        at = to
+
+
 def _verify(cosine: float):
-    keys = ["label", "dim", "tbl", "bucket", "left", "right"]
+    keys = ["label", "dim", "tbl", "bucket", "kind", "left", "right"]
 
     def whole(batches):
         rest = None
@@ -124,46 +138,44 @@ def _verify(cosine: float):
 
     def rows(batches):
         for table in whole(batches):
-            edges = [0, *_changes(table, keys).tolist(), table.num_rows]
-            ids, probe, copies = (table[c].to_numpy() for c in ("id", "probe", "copies"))
-            part, dims = table["part"].to_numpy(), table["dim"].to_numpy()
-            left, right, tbl = (table[c].to_numpy() for c in ("left", "right", "tbl"))
-            vectors, homes = table["vector"].combine_chunks(), table["home"].combine_chunks()
-            a, b, near = [], [], []
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if hi - lo < 2:
-                    continue
-                x = _units(vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, dims[lo]))
-                home = homes.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
-                first = np.flatnonzero(part[lo:hi] == left[lo]) if not (probe[lo:hi]).all() else []
-                second = np.flatnonzero((part[lo:hi] == right[lo]) & ~probe[lo:hi])
-                labels, weight = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
-                for s in range(0, len(first), TILE):
-                    rows_ = first[s : s + TILE]
-                    i, j = np.nonzero(x[rows_] @ x[second].T >= cosine - 1e-9)
-                    i, j = rows_[i], second[j]
-                    # a pair of residents belongs to the first table in which both live together
-                    same = home[i] == home[j]
-                    resident = ~probe[lo:hi][i]
-                    mine = np.where(resident, (i < j) | (left[lo] != right[lo]), True) & np.where(resident, same.argmax(1) == tbl[lo], ~same.any(1))
-                    i, j = i[mine & (i != j)], j[mine & (i != j)]
-                    true = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-                    i, j, resident = i[true], j[true], ~probe[lo:hi][i[true]]
-                    a.append(np.minimum(ids[lo:hi][i[~resident]], ids[lo:hi][j[~resident]]))
-                    b.append(np.maximum(ids[lo:hi][i[~resident]], ids[lo:hi][j[~resident]]))
-                    near.append(np.zeros(len(a[-1]), np.int64))
-                    i, j = i[resident], j[resident]
-                    np.add.at(weight, i, copies[lo:hi][j])
-                    np.add.at(weight, j, copies[lo:hi][i])
-                    labels = _merge(labels, i, j)
-                tied = np.flatnonzero(weight)
-                a.append(ids[lo:hi][tied])
-                b.append(ids[lo:hi][labels[tied]])
-                near.append(weight[tied])
-            if a:
-                a, b, near = (np.concatenate(x) for x in (a, b, near))
-                # copies are at least one, so a weight of zero stands for a pair
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near, mask=near == 0)], names=["a", "b", "near"])
+            dims = table["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():  # vectors of one length side by side
+                yield compare(table.take(pa.array(np.flatnonzero(dims == dim))), dim)
+
+    def compare(table, dim):
+        n = table.num_rows
+        edges = np.concatenate([[0], _changes(table, keys), [n]])
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        ids, copies, side, tbl = (table[c].to_numpy() for c in ("id", "copies", "side", "tbl"))
+        probing = table["kind"].to_numpy() == 1
+        within = ~probing & (table["left"].to_numpy() == table["right"].to_numpy())
+        x = _units(table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim))
+        home = table["home"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        # rows of a tile stand by side; a row meets all of the other side, or the later rows of its own part
+        seconds = np.bincount(group[side == 0], minlength=len(edges) - 1) + edges[:-1]
+        first = np.flatnonzero((side == 0) & (edges[1:][group] - edges[:-1][group] > 1))
+        begin, end = np.where(within[first], first + 1, seconds[group[first]]), edges[1:][group[first]]
+        labels, weight = np.arange(n), np.zeros(n, np.int64)
+        a, b = [], []
+        for i, j in _pairs(first, begin, end, max((1 << 23) // dim, 1)):
+            # residents are compared in the first table in which both live together, a probe with residents it lives with nowhere
+            same = home[i] == home[j]
+            mine = np.where(probing[i], ~same.any(1), same.argmax(1) == tbl[i])
+            i, j = i[mine], j[mine]
+            true = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+            i, j = i[true], j[true]
+            met = probing[i]
+            a.append(np.minimum(ids[i[met]], ids[j[met]]))
+            b.append(np.maximum(ids[i[met]], ids[j[met]]))
+            i, j = i[~met], j[~met]
+            np.add.at(weight, i, copies[j])
+            np.add.at(weight, j, copies[i])
+            labels = _merge(labels, i, j)
+        tied = np.flatnonzero(weight)
+        a, b = np.concatenate([*a, ids[tied]]), np.concatenate([*b, ids[labels[tied]]])
+        near = np.concatenate([np.zeros(len(a) - len(tied), np.int64), weight[tied]])
+        # copies are at least one, so a weight of zero stands for a pair
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near, mask=near == 0)], names=["a", "b", "near"])
 
     return rows
 
@@ -213,22 +225,27 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         .select("id", "label", "dim", "tbl", F.explode(F.concat(lives, F.transform("z.probed", lambda b: F.struct(b.alias("bucket"), F.lit(True).alias("probe"))))).alias("slot"))
         .select("id", "label", "dim", "tbl", "slot.bucket", "slot.probe")
     )
-    residents = F.count_if(~F.col("probe"))
-    # buckets without a resident or with one row hold no pair; parts is 1 for all but crowded ones
-    crowd = slots.groupBy(*bucket).agg(residents.alias("residents"), F.count(F.lit(1)).alias("n")).where("residents > 0 AND n > 1").select(*bucket, F.ceil(F.col("residents") / tile).cast("int").alias("parts"))
-    placed = join_hot(slots, crowd, bucket, "id").withColumn("part", F.when(F.col("probe"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    tiles = F.when(F.col("probe"), F.transform(every, lambda r: F.struct(F.lit(-1).alias("left"), r.alias("right")))).otherwise(
+    # buckets without a resident or with one row hold no pair; there is one part of each side for all but crowded ones
+    probes, residents = F.count_if("probe"), F.count_if(~F.col("probe"))
+    crowd = slots.groupBy(*bucket).agg(probes.alias("probes"), residents.alias("residents")).where("residents > 0 AND residents + probes > 1")
+    crowd = crowd.select(*bucket, F.ceil(F.col("residents") / tile).cast("int").alias("parts"), F.ceil(F.col("probes") / tile).cast("int").alias("probe_parts"))
+    placed = join_hot(slots, crowd, bucket, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("probe_parts")).otherwise(F.col("parts"))).cast("int"))
+
+    def tiled(kind: int, side, left, right):
+        return F.struct(F.lit(kind).alias("kind"), side.alias("side"), left.alias("left"), right.alias("right"))
+
+    every, every_probe = F.sequence(F.lit(0), F.col("parts") - 1), F.filter(F.sequence(F.lit(0), F.col("probe_parts")), lambda p: p < F.col("probe_parts"))
+    # tiles (0, l, r) hold the residents of two parts, tiles (1, p, r) the probes of one part and the residents of another
+    tiles = F.when(F.col("probe"), F.transform(every, lambda r: tiled(1, F.lit(0), F.col("part"), r))).otherwise(
         F.concat(
-            F.transform(every, lambda r: F.struct(F.least("part", r).alias("left"), F.greatest("part", r).alias("right"))),
-            F.array(F.struct(F.lit(-1).alias("left"), F.col("part").alias("right"))),
+            F.transform(every, lambda r: tiled(0, F.when(F.col("part") <= r, 0).otherwise(1), F.least("part", r), F.greatest("part", r))),
+            F.transform(every_probe, lambda p: tiled(1, F.lit(1), p, F.col("part"))),
         )
     )
-    # tiles (-1, r) hold the probes and the residents of part r
-    dealt = placed.withColumn("tile", F.explode(tiles)).select("id", *bucket, "probe", "part", F.col("tile.left").alias("left"), F.col("tile.right").alias("right"))
+    dealt = placed.withColumn("tile", F.explode(tiles)).select("id", *bucket, F.col("tile.kind").alias("kind"), F.col("tile.side").alias("side"), F.col("tile.left").alias("left"), F.col("tile.right").alias("right"))
     dealt = dealt.join(hashed.select("id", "copies", "home", "vector"), "id")
-    meet = [*bucket, "left", "right"]
-    links = checkpoint(dealt.repartition(n, *meet).sortWithinPartitions(*meet).mapInArrow(_verify(cosine), _LINKS))
+    meet = [*bucket, "kind", "left", "right"]
+    links = checkpoint(dealt.repartition(n, *meet).sortWithinPartitions(*meet, "side").mapInArrow(_verify(cosine), _LINKS))
     pairs = checkpoint(links.where("near IS NULL").select("a", "b").distinct())
     weighed = links.where("near IS NOT NULL")
     roots = connected_components(pairs.union(weighed.select("a", "b")))

@@ -197,7 +197,8 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_embeddings(spark, tile):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 24))
     rows = []
@@ -206,18 +207,37 @@ def test_embeddings(spark):
         rows.append((k, [float(np.float32(x)) for x in v], int(k % 2), "x"))
     odd = [(1000, None, 1, "x"), (1001, [0.0] * 24, 1, "x"), (1002, [float("nan")] * 24, 1, "x"), (1003, [None] * 24, 1, "x"), (1004, [float("inf")] * 24, 1, "x"), (1005, rows[0][1], None, "x"), (1006, [], 0, "x"), (1007, [1.0, 2.0], 0, "x"), (1008, [1e200, 1e200], 0, "x")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int, id string").repartition(3)
-    got = {r["vec_id"]: r for r in embeddings.embedding_dedup(df, tile=64).collect()}
+    got = {r["vec_id"]: r for r in embeddings.embedding_dedup(df, tile=tile).collect()}
     assert len(got) == len(rows) + len(odd)
     for k in (1000, 1001, 1002, 1003, 1004, 1005, 1006):
         assert got[k][1:] == (0, k, True)
     assert got[1007]["n_links"] == got[1008]["n_links"] == 1 - (np.dot([1, 2], [1, 1]) / np.sqrt(10) < 0.93)
-    x = np.array([r[1] for r in rows])
+    x, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = (x @ x.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
-    want = near.sum(1) - 1
-    found = np.array([got[k]["n_links"] for k in range(400)])
-    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() > 0
-    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+    near = (np.einsum("ij,kj->ik", x, x) >= 0.93) & (label[:, None] == label)
+    roots = components(list(range(400)), lambda a, b: near[a, b])
+    assert {k: got[k][1:] for k in range(400)} == {k: (near[k].sum() - 1, roots[k], roots[k] == k) for k in range(400)}
+    assert near.sum() > 1000
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    v, w = (rng.normal(size=16).tolist() for _ in range(2))
+    rows = [(1, v, 0), (1, v, 0), (1, w, 0), (None, v, 0), (None, w, 0), (2, v, 0), (3, v, 1), (4, w, 0)]
+    got = Counter(tuple(r) for r in embeddings.embedding_dedup(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, tbl int, side int")).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (None, 0, None, True), (None, 0, None, True), (2, 2, 1, False), (3, 0, 3, True), (4, 1, 1, False)])
+
+
+def test_recall_at_the_threshold_itself():
+    rng = np.random.default_rng(0)
+    for d in (16, 64, 128):
+        a, b = rng.normal(size=(2, 1000, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        x, y = embeddings.cross_polytope(a), embeddings.cross_polytope(0.93 * a + np.sqrt(1 - 0.93**2) * b)
+        met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+        assert met.mean() >= 0.97
 
 
 def test_nothing_in_nothing_out(spark, none):
