@@ -1,9 +1,11 @@
 """Exact dedup by content-defined chunk recipes, native DataFrame code only.
 
-1. White space is deleted and the rest is cut into chunks where the content
-   says so: a boundary follows three characters of fixed classes, at least
-   ``MIN_CHUNK`` and at most ``MAX_CHUNK`` characters after the last one. Equal
-   texts thus give equal chunks, and an edit moves only the chunks around it.
+1. White space is deleted and the UTF-8 bytes of the rest are cut into chunks
+   where the content says so: a boundary follows three characters of one byte
+   length whose last bytes are of fixed classes, at least ``MIN_CHUNK`` and at
+   most ``MAX_CHUNK`` bytes after the last one. About one place in 200 qualifies
+   in any script, so equal texts give equal chunks, and an edit moves only the
+   chunks around it.
 2. The chunk dictionary groups all chunks by (hash, content): every chunk's
    bytes move once, combined on the map side, and prove whether a hash stands
    for a single content. Hashes that do not are numbered apart.
@@ -23,11 +25,21 @@ from .shared import checkpoint, documents, join_hot
 MIN_CHUNK = 192
 MAX_CHUNK = 4096
 
-#: A boundary follows a character of each class; on prose about one place in 200 qualifies.
-BOUNDARY = r"[a-eA-E0-3à-éа-и一-拿][h-nH-N4-6ê-óй-с挀-矿][e-rE-R7-9ô-ÿт-я砀-鿿]"
+#: Last bytes that qualify: one in six of those that end a character of several bytes, as characters of Latin-1.
+_LAST = "[" + "".join(rf"\x{b:02X}" for b in range(0x80, 0xC0) if b % 6 == 2) + "]"
+_ASCII = (r"[a-eA-E0-3]", r"[h-nH-N4-6]", r"[e-rE-R7-9]")
+#: First bytes by how many bytes follow, and what stands between them and the last byte.
+_LEADS = (r"[\xC2-\xDF]", r"[\xE0-\xEF][\x80-\xBF]", r"[\xF0-\xF4][\x80-\xBF]{2}")
+BOUNDARY = "|".join(["".join(_ASCII), *(f"{_LAST}{lead}{_LAST}{lead}{_LAST}" for lead in _LEADS)])
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?(?:(?<={BOUNDARY})|\z)|.{{{MAX_CHUNK}}}|.+"
 
 
+def chunks_of(text: Column) -> Column:
+    """The chunks of a text as binary values; one after another they are its UTF-8 bytes."""
+    bytes_ = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    return F.transform(F.regexp_extract_all(bytes_, F.lit(CHUNK), F.lit(0)), lambda c: F.encode(c, "ISO-8859-1"))
+
+
 def without_space(text: Column) -> Column:
     """The text without the characters of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
@@ -45,12 +57,13 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     the smallest doc_id. Null text counts as empty, so all null, empty and blank
     texts form one class. A repeated doc_id row is a row like any other and
     counts in group_size; rows that share the kept doc_id are all ``kept``. A
-    null doc_id comes after all others. Other columns are ignored.
+    null doc_id comes after all others, a table without rows gives none, and
+    texts of any length are taken whole. Other columns are ignored.
     ``hash_bits`` is there for tests: with few bits chunk hashes collide and
     the dictionary has to tell the contents apart.
     """
     cut = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), without_space(F.col("text")).alias("norm"))
-    cut = cut.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CHUNK), 0).alias("chunks"))
+    cut = cut.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), chunks_of(F.col("norm")).alias("chunks"))
 
     def hashed(c: Column) -> Column:
         return chunk_hash(c, hash_bits)

@@ -45,8 +45,32 @@ def test_exact_null_ids_under_colliding_hashes(spark):
 def test_chunks_make_up_the_text(spark, texts):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([(t or "",) for _, t in texts], "text string")
-    assert df.where(F.array_join(F.regexp_extract_all("text", F.lit(exact_dedup.CHUNK), 0), "") != F.col("text")).count() == 0
+    df = spark.createDataFrame([(t or "",) for _, t in texts], "text string").withColumn("chunks", exact_dedup.chunks_of(F.col("text")))
+    assert all(b"".join(r["chunks"]) == r["text"].encode() for r in df.collect())
+
+
+SCRIPTS = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "arabic": 0x627, "hebrew": 0x5D0, "devanagari": 0x915, "kana": 0x3042, "han": 0x4E00, "hangul": 0xAC00, "gothic": 0x10330}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_chunks_follow_the_content_in_every_script(spark, script):
+    """After an edit at the front the chunks behind it are the same, and few are as long as they may be."""
+    from pyspark.sql import functions as F
+
+    rng, first = np.random.default_rng(3), SCRIPTS[script]
+    n = {"han": 3000, "hangul": 3000, "kana": 80}.get(script, 26)
+    text = "".join(chr(first + int(k)) for k in rng.integers(0, n, 40_000))
+    df = spark.createDataFrame([(text,), (chr(first) + text[2:],)], "text string").select(exact_dedup.chunks_of(F.col("text")).alias("c"))
+    a, b = (r["c"] for r in df.collect())
+    assert a[0] != b[0] and len(set(a) & set(b)) > 0.8 * len(a) > 20
+    assert sum(len(c) == exact_dedup.MAX_CHUNK for c in a) <= 0.05 * len(a)
+
+
+def test_exact_of_a_very_long_text(spark):
+    long = "".join(f"w{i} " for i in range(400_000))
+    rows = [(1, long), (2, long.replace(" ", "\n ")), (3, long[:-3]), (4, "x" * 1_000_000)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, recipe string, n int")).collect()}
+    assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
 
 
 def brute_substring(rows, w):
