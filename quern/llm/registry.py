@@ -22,13 +22,14 @@ MODULES = {
 }
 
 
-def _module(name: str):
+def module(name: str):
+    """The module of a query; an operator that cannot be imported raises here and nowhere else."""
     return import_module(f"{__package__}.{MODULES[name]}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _module(name).query for name in MODULES}
+    return {name: module(name).query for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name in MODULES if (sql := getattr(_module(name), "SQL", None))}
+    return {name: sql for name in MODULES if (sql := getattr(module(name), "SQL", None))}

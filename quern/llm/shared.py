@@ -8,47 +8,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where that
-    is unset (local tests) a temporary folder is used.
+    A temporary folder of this machine stands in only where driver and
+    executors are one process, as in tests; anywhere else the setting is needed.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="quern-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-#: A key is hot if it has more than this share of the rows, so there are fewer than 256 hot keys.
-HOT_SHARE = 256
-SALTS = 32
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """64-bit hashes of the hot keys, fewer than ``HOT_SHARE`` whatever the table."""
+    """64-bit hashes of the hot keys (__hot) and over how many tasks each is dealt (__salts).
+
+    A key is hot if it has more rows than an even share of one of the shuffle
+    partitions, so there are fewer hot keys than partitions, whatever the table.
+    """
+    n = shuffle_partitions(rows.sparkSession)
     sizes = rows.groupBy(F.xxhash64(*keys).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.sum("__n").alias("__total"))
-    return checkpoint(sizes.join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__total")).select("__hot"))
+    share = F.col("__n") * F.lit(float(n)) / F.col("__total")
+    return checkpoint(sizes.join(F.broadcast(total), share > 1).select("__hot", F.ceil(share).cast("int").alias("__salts")))
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Join rows with facts (few rows per key) where a key may have a large share of all rows.
 
-    Rows of hot keys are dealt over ``SALTS`` tasks by a hash of the column
-    ``spread``, and the facts of those keys are repeated for each. Only hashes
-    of hot keys are broadcast; a chance hit there only deals one more key.
-    ``how`` is inner or left. ``rows`` is read twice and should be cheap to
-    read, unless its ``hot_keys`` are given. The merge join is asked for, since
-    a join moved to where the facts lie would undo the dealing.
+    Rows of a hot key are dealt over as many tasks as its rows are worth by a
+    hash of the column ``spread``, and the facts of that key are repeated for
+    each. Only hashes of hot keys are broadcast; a chance hit there only deals
+    one more key. ``how`` is inner or left. ``rows`` is read twice and should be
+    cheap to read, unless its ``hot_keys`` are given. The merge join is asked
+    for, since a join moved to where the facts lie would undo the dealing.
     """
     hot = hot_keys(rows, keys) if hot is None else hot
     is_hot = F.xxhash64(*keys) == F.col("__hot")
-    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread, F.lit("salt")), F.lit(SALTS)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", salt).drop("__hot")
-    every = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = facts.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread, F.lit("salt")), F.col("__salts")).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", salt).drop("__hot", "__salts")
+    every = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    repeated = facts.join(F.broadcast(hot), is_hot, "left").withColumn("__salt", F.explode(every)).drop("__hot", "__salts")
     return dealt.hint("merge").join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
