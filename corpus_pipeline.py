@@ -7,7 +7,6 @@ again, so a lost executor costs at most the stage at hand.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from quern.llm.exact_dedup import exact_dedup
 from quern.llm.language import UNDECIDED, identify, train, with_letters
 from quern.llm.packing import pack_documents
 from quern.llm.pii import replace_entities, session_key
-from quern.llm.shared import checkpoint
+from quern.llm.shared import checkpoint, remove, shared_folder
 from quern.llm.simhash import simhash_dedup
 
 #: The columns of documents; each stage drops extra ones.
@@ -25,7 +24,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; a text that is null or has none goes. Where no language could be learnt, ``und`` says nothing of a text."""
+    """Documents with a letter; a text that is null or has none goes. Where no language could be learnt, ``und`` says nothing of a text.
+
+    Repeated rows and rows without a doc_id stay; no documents give none.
+    """
     model = train(docs)
     if not model.langs:
         return with_letters(docs.select(*COLUMNS))
@@ -67,7 +69,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in packed sequences."""
+    """The pieces of all documents in packed sequences; a repeated row has pieces of its own, a null text one of length one."""
     return pack_documents(docs)
 
 
@@ -84,11 +86,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what lies between them goes to the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-pipeline-")
+    """All stages in turn; what lies between them goes to the shared folder and is deleted once the last stage is done.
+
+    The last stage works on a checkpoint of its own, so its rows do not need the
+    stages' tables any more.
+    """
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+            docs = spark.read.parquet(f"{base}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        remove(spark, base)
