@@ -90,7 +90,10 @@ sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, NULLIF(l_linen
 
 
 def _target(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or tempfile.mkdtemp(prefix="quern-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
