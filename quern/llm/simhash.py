@@ -10,12 +10,13 @@ so far and at each node adds those in the bits that are new there: a node with
 too many is dropped with all below it, and so is one whose fingerprints are all
 in the searcher's component already. A group thus returns links that span its
 components, never all pairs. Groups beyond ``max_group`` are dealt again by
-blocks of the remaining bits.
+blocks of the remaining bits, and then in parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 3
 FANOUT = 8
+#: How often a crowded group is dealt by blocks of bits.
+LEVELS = 3
 
 #: Constants of XXH64 (fixed values).
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -206,7 +209,7 @@ def link(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, fanout: int =
 
 
 def _links_of_partition(radius: int, limit: int = 200_000):
-    keys = ["b", "v", "c", "w"]
+    keys = ["g"]
 
     def whole_groups(batches):
         rest = None
@@ -236,22 +239,38 @@ def _links_of_partition(radius: int, limit: int = 200_000):
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, max_group: int = 4096, partitions: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that join the same components as all pairs within ``radius`` bits do."""
+    """Links (a, b) between distinct fingerprints that join the same components as all pairs within ``radius`` bits do.
+
+    Fingerprints of a group agree on the bits they were grouped by. Those of a
+    group beyond ``max_group`` are grouped again by blocks of the other bits, up
+    to ``LEVELS`` times (37 bits by then). What is still beyond it is cut into
+    parts, and a task compares two parts, so no task holds more than
+    ``2 * max_group`` fingerprints of a group.
+    """
     n = partitions or shuffle_partitions(fps.sparkSession)
-    width = 64 // (radius + 1)
+    open_, ready, width = fps.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("g")), [], 64
     blocks = F.array(*[F.lit(i) for i in range(radius + 1)])
-    first = fps.select("fp", F.explode(blocks).alias("b")).withColumn("v", F.expr(f"shiftrightunsigned(fp, b * {width}) & {(1 << width) - 1}L"))
-    crowded = first.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("b", "v", F.lit(True).alias("crowded"))
-    # the other bits moved together: 64 - width of them, cut into radius + 1 blocks again
-    inner = (64 - width) // (radius + 1)
-    rest = f"(shiftleft(shiftrightunsigned(shiftrightunsigned(fp, b * {width}), {width}), b * {width}) | (fp & (shiftleft(1L, b * {width}) - 1L)))"
-    dealt = (
-        join_hot(first, crowded, ["b", "v"], "fp", "left")
-        .withColumn("c", F.explode(F.when(F.col("crowded"), blocks).otherwise(F.array(F.lit(-1)))))
-        .withColumn("w", F.expr(f"CASE WHEN c < 0 THEN 0L ELSE shiftrightunsigned({rest}, c * {inner}) & {(1 << inner) - 1}L END"))
-        .select("b", "v", "c", "w", "fp")
-    )
-    return dealt.repartition(n, "b", "v", "c", "w").sortWithinPartitions("b", "v", "c", "w").mapInArrow(_links_of_partition(radius), "a long, b long")
+    for level in range(LEVELS):
+        bits = width // (radius + 1)
+        # the value of block b, and the bits below and above it moved together
+        value = F.expr(f"shiftrightunsigned(rest, b * {bits}) & {(1 << bits) - 1}L")
+        others = F.expr(f"shiftleft(shiftrightunsigned(shiftrightunsigned(rest, b * {bits}), {bits}), b * {bits}) | (rest & (shiftleft(1L, b * {bits}) - 1L))")
+        dealt = open_.select("fp", "rest", "g", F.explode(blocks).alias("b")).select("fp", others.alias("rest"), F.xxhash64("g", F.lit(width), "b", value).alias("g"))
+        width -= bits
+        crowded = checkpoint(dealt.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group).select("g", F.ceil(F.col("n") / max_group).cast("int").alias("parts")))
+        if crowded.isEmpty():
+            ready.append(dealt.select("g", "fp"))
+            break
+        marked = checkpoint(join_hot(dealt, crowded, ["g"], "fp", "left"))
+        ready.append(marked.where("parts IS NULL").select("g", "fp"))
+        if level == LEVELS - 1:
+            part, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+            tiles = F.transform(every, lambda r: F.xxhash64("g", F.least(part, r), F.greatest(part, r)))
+            ready.append(marked.where("parts IS NOT NULL").select(F.explode(tiles).alias("g"), "fp"))
+            break
+        open_ = marked.where("parts IS NOT NULL").select("fp", "rest", "g")
+    found = reduce(DataFrame.union, ready)
+    return found.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_links_of_partition(radius), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS, max_group: int = 4096) -> DataFrame:

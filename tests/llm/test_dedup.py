@@ -206,6 +206,18 @@ def test_gray_index_links_like_all_pairs():
     assert len(set(zip(labels, want, strict=True))) == len(set(labels)) == len(set(want))
 
 
+def test_crowded_groups_are_dealt_until_they_are_small(spark):
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 2**63, 3)]
+    made = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (60, 2))} | {int(x) << 40 for x in range(200)})
+    rows = [(x - 2**64 if x >= 2**63 else x,) for x in made]
+    links = simhash.fingerprint_links(spark.createDataFrame(rows, "fp long"), max_group=20).collect()
+    place = {x: k for k, (x,) in enumerate(rows)}
+    pairs = {(place[r["a"]], place[r["b"]]) for r in links}
+    got = components(list(range(len(made))), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    assert got == components(made, lambda a, b: (a ^ b).bit_count() <= 3)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join_with_hot_keys(spark, how):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(900)], "a long, k string")
