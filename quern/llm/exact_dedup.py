@@ -25,13 +25,15 @@ from .shared import checkpoint, documents, join_hot
 MIN_CHUNK = 192
 MAX_CHUNK = 4096
 
+#: Classes of the three bytes of a boundary in ASCII: code points by their remainders, the rarest first.
+_ASCII = "".join("[" + "".join(chr(c) for c in range(0x30, 0x7B) if c % m == r and chr(c).isalnum()) + "]" for m, r in ((16, 9), (4, 0), (8, 5)))
 #: Last bytes that qualify: one in six of those that end a character of several bytes, as characters of Latin-1.
 _LAST = "[" + "".join(rf"\x{b:02X}" for b in range(0x80, 0xC0) if b % 6 == 2) + "]"
-_ASCII = (r"[a-eA-E0-3]", r"[h-nH-N4-6]", r"[e-rE-R7-9]")
-#: First bytes by how many bytes follow, and what stands between them and the last byte.
+#: First bytes of characters of two, three and four bytes, with what stands between them and the last byte.
 _LEADS = (r"[\xC2-\xDF]", r"[\xE0-\xEF][\x80-\xBF]", r"[\xF0-\xF4][\x80-\xBF]{2}")
-BOUNDARY = "|".join(["".join(_ASCII), *(f"{_LAST}{lead}{_LAST}{lead}{_LAST}" for lead in _LEADS)])
-CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?(?:(?<={BOUNDARY})|\z)|.{{{MAX_CHUNK}}}|.+"
+BOUNDARY = f"(?:{_ASCII}|{_LAST}(?:{'|'.join(f'{lead}{_LAST}{lead}{_LAST}' for lead in _LEADS)}))"
+#: A chunk ends with a boundary, which has at most nine bytes, at the largest size, or with the text.
+CHUNK = rf"(?s).{{{MIN_CHUNK - 3},{MAX_CHUNK - 9}}}?{BOUNDARY}|.{{1,{MAX_CHUNK}}}"
 
 
 def chunks_of(text: Column) -> Column:
