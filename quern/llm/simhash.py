@@ -119,7 +119,7 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()])
     at = 0
