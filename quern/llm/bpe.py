@@ -50,6 +50,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.byte_characters = byte_characters()
+        self._shown = dict(enumerate(self.byte_characters))
         self.pattern = WORD_PATTERN if self.suffix else BYTE_PATTERN
 
     def parts(self, text: str) -> list[str]:
@@ -66,7 +67,7 @@ class Vocabulary:
 
     def merged_ids(self, pretoken: str) -> list[int]:
         """The tokens that the library's own merges leave of one pre-token."""
-        return [t.id for t in self.library.model.tokenize("".join([self.byte_characters[b] for b in pretoken.encode()]))]
+        return [t.id for t in self.library.model.tokenize(pretoken.encode().decode("latin-1").translate(self._shown))]
 
     def merged_length(self, pretoken: str) -> int:
         return len(self.merged_ids(pretoken))

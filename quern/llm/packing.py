@@ -13,7 +13,9 @@ length; ranks come from counts per task, never from a sort of all pieces.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +65,10 @@ class IdEncoder(dict):
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    words = array("I", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
 
 
 _ENCODERS: dict[str, IdEncoder] = {}
