@@ -28,17 +28,29 @@ def sum_exact(x: Column) -> Column:
     return F.sum(x.cast(BIG)).cast(BIG)
 
 
-def avg_exact(x: Column, scale: int = 16) -> Column:
-    """Average of integers or decimals of up to six decimals, exact to ``scale`` (at most 16) digits.
-
-    The sum in millionths is divided as an integer; only the remainder, which is
-    below the divisor, becomes a fraction, so no digit is lost to the limit of 38.
+def _quotient(units: Column, parts: Column, scale: int) -> Column:
+    """units / parts of integers of up to 38 digits, half away from zero: whole part and fraction divided apart, so that no digit is lost."""
+    parts = F.nullif(parts.cast("decimal(19,0)"), F.lit(0).cast("decimal(19,0)"))
+    whole = F.call_function("div", units, parts).cast(BIG)
+    rest = (units - (whole * parts).cast(BIG)).cast("decimal(19,0)")
+    unit = F.lit("1" + "0" * scale).cast(f"decimal({scale + 1},0)")
+    scaled = (rest * unit).cast(BIG)
+    fraction = F.call_function("div", scaled, parts).cast(BIG)
+    left = (scaled - (fraction * parts).cast(BIG)).cast("decimal(20,0)")
+    away = F.when(F.abs(left) * 2 >= F.abs(parts), F.signum(left) * F.signum(parts)).otherwise(F.lit(0)).cast(BIG)
+    behind = (fraction + away).cast(f"decimal({scale + 1},0)") * F.lit("0." + "0" * (scale - 1) + "1").cast(f"decimal({scale},{scale})")
+    return (whole.cast(f"decimal({37 - scale},0)") + behind.cast(f"decimal({scale + 1},{scale})")).cast(f"decimal(38,{scale})")
+
+
+def avg_exact(x: Column, scale: int = 16, decimals: int = 6) -> Column:
+    """Average of integers or of decimals with at most ``decimals`` digits behind the point, exact to ``scale`` digits.
+
+    The sum in units of the last digit is divided as an integer; a sum has up to
+    38 digits, the count up to 19 less ``decimals``.
     """
-    total = (F.sum(x.cast("decimal(28,6)")) * F.lit(1000000).cast("decimal(7,0)")).cast(BIG)
-    parts = (F.count(x) * F.lit(1000000)).cast("decimal(19,0)")
-    whole = F.call_function("div", total, F.nullif(parts, F.lit(0).cast("decimal(19,0)"))).cast("decimal(19,0)")
-    rest = (total - whole * parts).cast("decimal(19,0)") / F.nullif(parts, F.lit(0).cast("decimal(19,0)"))
-    return (whole + rest.cast("decimal(18,17)")).cast(f"decimal(38,{scale})")
+    unit = F.lit("1" + "0" * decimals).cast(f"decimal({decimals + 1},0)")
+    total = F.sum((x.cast(f"decimal(28,{decimals})") * unit).cast("decimal(28,0)")).cast(BIG)
+    return _quotient(total, F.count(x) * F.lit(10**decimals), scale)
 
 
 def avg_merge(partial_sum: Column, partial_count: Column) -> Column:
@@ -71,12 +83,22 @@ def float_checked(value: Column, *inputs: Column) -> Column:
     return F.when(finite & (F.abs(value) == F.lit(float("inf"))), F.raise_error(F.lit("22003: value out of range: overflow")).cast("double")).otherwise(value)
 
 
-def divide_decimal(a: Column, b: Column, scale: int = 16) -> Column:
+def sum_float(x: Column) -> Column:
+    """Sum of floats; an error where finite values gave an infinite sum."""
+    total, infinite = F.sum(x), F.bool_or(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    lost = (F.abs(total) == F.lit(float("inf"))) & ~F.coalesce(infinite, F.lit(False))
+    return F.when(lost, F.raise_error(F.lit("22003: value out of range: overflow")).cast("double")).otherwise(total)
+
+
+def divide_decimal(a: Column, b: Column, scale: int = 16, decimals: int = 4) -> Column:
     """Quotient of decimals at a fixed scale, half away from zero; a zero divisor is an error.
 
-    The dividend may have 15 digits before the point and 12 after it.
+    Both sides are made integers in units of ``10 ** -decimals``, which must hold
+    all their digits: the dividend up to 38 of them, the divisor up to 19.
     """
-    return (a.cast("decimal(27,12)") / b).cast(f"decimal(38,{scale})")
+    unit = F.lit("1" + "0" * decimals).cast(f"decimal({decimals + 1},0)")
+    checked = F.when(b == 0, F.raise_error(F.lit("22012: division by zero")).cast("decimal(19,0)")).otherwise((b * unit).cast("decimal(19,0)"))
+    return _quotient((a * unit).cast(BIG), checked, scale)
 
 
 def round_half_away(x: Column, digits: int = 0) -> Column:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grouping_sets(df: DataFrame, keys: list[str], sets: list[list[str]], aggregates: list[Column], group_id: str | None = None, grouping_id: str | None = None) -> DataFrame:
+def grouping_sets(df: DataFrame, keys: list[str], sets: list[list[str]], aggregates: list[Column], group_id: str | None = None, grouping_id: str | None = None, merges: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Aggregate by several sets of keys at once.
 
+    ``merges`` says for every aggregate, by its name, how its values of finer
+    groups become that of a coarser one. The rows are then read and aggregated
+    once, by all keys, and only the groups are expanded. Without it (distinct
+    arguments, averages) the rows themselves are.
+
     Non-empty sets run in one pass (one Expand, one shuffle). An empty set is a
     plain aggregate, which returns its row even over no input. ``group_id``
     numbers equal sets from 0; ``grouping_id`` has one bit per key, 1 where the
     key is not part of the row's set.
     """
     kinds = dict(df.dtypes)
+    if merges:
+        df = df.groupBy(*keys).agg(*aggregates)
+        aggregates = [merges[c](F.col(c)).cast(t).alias(c) for c, t in df.dtypes if c in merges]
     parts = []
     seen: dict[tuple, int] = {}
     rounds: list[list[list[str]]] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,19 @@ def key_filter(inner: DataFrame, keys: list[str], outer: DataFrame) -> DataFrame
     return inner.join(outer.select(*keys).distinct(), keys, "left_semi")
 
 
+def with_correlated(outer: DataFrame, keys: list[str], aggregates: dict[str, Column], inner: DataFrame | None = None) -> DataFrame:
+    """Add the aggregates of a correlated subquery over ``inner`` rows with equal keys.
+
+    The key filter always stands below the aggregate. Where the subquery reads
+    the outer query's own rows (``inner`` is None: every row of the keys is
+    there), a window gives the aggregates in the same pass.
+    """
+    if inner is None:
+        over = Window.partitionBy(*keys)
+        return outer.select("*", *[a.over(over).alias(n) for n, a in aggregates.items()])
+    return outer.join(key_filter(inner, keys, outer).groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), keys, "left")
+
+
 def null_aware_anti(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """``key NOT IN (values)`` as a filter, without needing the set in one place.
 

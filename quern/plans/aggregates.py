@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import numeric
 from quern.operators import grouping, skew
 
-from .registry import frame, sql
+from .registry import frame, quotient, sql
 
 sql("agg_global", "SELECT count(*) AS n, count(NULLIF(l_linenumber, 1)) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem")
 sql("agg_global_empty", "SELECT count(*) AS n, sum(l_linenumber) IS NULL AS s, max(l_quantity) AS hi FROM lineitem WHERE l_orderkey < 0")
@@ -17,7 +17,13 @@ sql("agg_high_cardinality", "SELECT l_orderkey, count(*) AS n FROM lineitem GROU
 sql("agg_having", "SELECT o_custkey, CAST(sum(@total) AS DECIMAL(38,2)) AS s FROM orders GROUP BY o_custkey HAVING sum(@total) > 1500000 AND count(*) > 3")
 sql("agg_sum_int", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag")
 sql("agg_sum_decimal", "SELECT l_linestatus, CAST(sum(@price) AS DECIMAL(38,2)) AS s, CAST(sum(@rev) AS DECIMAL(38,4)) AS r FROM lineitem GROUP BY l_linestatus")
-sql("agg_sum_float", "SELECT l_linenumber, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY l_linenumber")
+
+
+@frame("agg_sum_float", "SELECT l_linenumber, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY l_linenumber")
+def _(t):
+    return t("lineitem").groupBy("l_linenumber").agg(F.round(numeric.sum_float(F.col("l_quantity")), 2).alias("s"))
+
+
 sql("agg_avg_float", "SELECT l_linenumber, round(avg(l_extendedprice), 4) AS a FROM lineitem GROUP BY l_linenumber")
 sql("agg_minmax_all_types", "SELECT o_orderstatus, min(o_orderkey) AS a, max(o_orderpriority) AS b, min(@odate) AS c, max(@total) AS d, max(o_totalprice) AS e FROM orders GROUP BY o_orderstatus")
 sql("agg_minmax_nan", "SELECT k, [[isnan(max(f))||isnan(max(f))]] AS hi, min(f) AS lo FROM (SELECT l_linenumber AS k, CASE WHEN l_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_quantity END AS f FROM lineitem) t GROUP BY k")
@@ -41,14 +47,15 @@ def _(t):
     return t("lineitem").groupBy("l_returnflag").agg(numeric.sum_exact(F.col("l_partkey") * F.lit(1000000000)).alias("s"))
 
 
-@frame("agg_avg_int", "SELECT l_returnflag, round(avg(l_linenumber), 9) AS a FROM lineitem GROUP BY l_returnflag")
+@frame("agg_avg_int", f"SELECT l_returnflag, {quotient('sum(l_linenumber)', 'count(*)', 16)} AS a FROM lineitem GROUP BY l_returnflag")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(numeric.avg_exact(F.col("l_linenumber")).cast("double"), 9).alias("a"))
+    return t("lineitem").groupBy("l_returnflag").agg(numeric.avg_exact(F.col("l_linenumber")).alias("a"))
 
 
-@frame("agg_avg_decimal", "SELECT l_returnflag, round(CAST(sum(@price) AS DOUBLE) / count(*), 6) AS a FROM lineitem GROUP BY l_returnflag")
+@frame("agg_avg_decimal", f"SELECT l_returnflag, {quotient('CAST(sum(@price) * 100 AS HUGEINT)', 'count(*) * 100', 16)} AS a, {quotient('CAST(sum(-@price) * 100 AS HUGEINT)', 'count(*) * 100', 16)} AS b FROM lineitem GROUP BY l_returnflag")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(numeric.avg_exact(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double"), 6).alias("a"))
+    price = F.col("l_extendedprice").cast("decimal(15,2)")
+    return t("lineitem").groupBy("l_returnflag").agg(numeric.avg_exact(price).alias("a"), numeric.avg_exact(-price).alias("b"))
 
 
 @frame("agg_stddev_variance", "SELECT l_returnflag, round(stddev_samp(l_linenumber), 8) AS ss, round(stddev_pop(l_linenumber), 8) AS sp, round(var_samp(l_linenumber), 8) AS vs, round(var_pop(l_linenumber), 8) AS vp FROM lineitem GROUP BY l_returnflag")
@@ -80,24 +87,27 @@ def _counts():
     return [F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("s")]
 
 
+#: Counts and sums of finer groups add up; over no group a count is zero.
+_ADD_UP = {"n": lambda n: F.coalesce(F.sum(n), F.lit(0)), "s": F.sum}
+
 _GS = "count(*) AS n, CAST(sum(@price) AS DECIMAL(38,2)) AS s FROM lineitem"
 
 
 @frame("gs_rollup", f"SELECT l_returnflag, l_linestatus, {_GS} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _(t):
     keys = ["l_returnflag", "l_linestatus"]
-    return grouping.grouping_sets(t("lineitem"), keys, grouping.rollup(keys), _counts())
+    return grouping.grouping_sets(t("lineitem"), keys, grouping.rollup(keys), _counts(), merges=_ADD_UP)
 
 
 @frame("gs_cube", f"SELECT l_returnflag, l_linestatus, l_linenumber, {_GS} GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)")
 def _(t):
     keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
-    return grouping.grouping_sets(t("lineitem"), keys, grouping.cube(keys), _counts())
+    return grouping.grouping_sets(t("lineitem"), keys, grouping.cube(keys), _counts(), merges=_ADD_UP)
 
 
 @frame("gs_sets", f"SELECT l_returnflag, l_linestatus, l_linenumber, {_GS} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
 def _(t):
-    return grouping.grouping_sets(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [["l_returnflag", "l_linestatus"], ["l_linenumber"], []], _counts())
+    return grouping.grouping_sets(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], [["l_returnflag", "l_linestatus"], ["l_linenumber"], []], _counts(), merges=_ADD_UP)
 
 
 @frame(
@@ -105,18 +115,18 @@ def _(t):
     "SELECT l_returnflag, count(*) AS n, 0 AS g FROM lineitem GROUP BY l_returnflag UNION ALL SELECT l_returnflag, count(*), 1 FROM lineitem GROUP BY l_returnflag UNION ALL SELECT NULL, count(*), 0 FROM lineitem UNION ALL SELECT NULL, count(*), 1 FROM lineitem",
 )
 def _(t):
-    return grouping.grouping_sets(t("lineitem"), ["l_returnflag"], [["l_returnflag"], ["l_returnflag"], [], []], [F.count(F.lit(1)).alias("n")], group_id="g")
+    return grouping.grouping_sets(t("lineitem"), ["l_returnflag"], [["l_returnflag"], ["l_returnflag"], [], []], [F.count(F.lit(1)).alias("n")], group_id="g", merges={"n": _ADD_UP["n"]})
 
 
 @frame("gs_grouping_fn", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS INT) AS gid FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def _(t):
     keys = ["l_returnflag", "l_linestatus"]
-    return grouping.grouping_sets(t("lineitem"), keys, grouping.cube(keys), [F.count(F.lit(1)).alias("n")], grouping_id="gid")
+    return grouping.grouping_sets(t("lineitem"), keys, grouping.cube(keys), [F.count(F.lit(1)).alias("n")], grouping_id="gid", merges={"n": _ADD_UP["n"]})
 
 
 @frame("gs_empty_input", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey < 0 GROUP BY GROUPING SETS ((l_returnflag), ())")
 def _(t):
-    return grouping.grouping_sets(t("lineitem").where("l_orderkey < 0"), ["l_returnflag"], [["l_returnflag"], []], [F.count(F.lit(1)).alias("n")])
+    return grouping.grouping_sets(t("lineitem").where("l_orderkey < 0"), ["l_returnflag"], [["l_returnflag"], []], [F.count(F.lit(1)).alias("n")], merges={"n": _ADD_UP["n"]})
 
 
 sql("gs_null_data", "SELECT NULLIF(l_linenumber, 3) AS k, CAST(grouping(NULLIF(l_linenumber, 3)) AS INT) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (NULLIF(l_linenumber, 3))")

@@ -102,6 +102,6 @@ def _(t):
 @frame("subq_key_filter", "SELECT CAST(sum(@price) AS DECIMAL(38,2)) AS s FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
 def _(t):
     parts = t("part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("l_partkey"))
-    lines = subquery.key_filter(t("lineitem").select("l_partkey", "l_quantity", "l_extendedprice"), ["l_partkey"], parts)
-    average = lines.groupBy("l_partkey").agg((0.5 * F.avg("l_quantity")).alias("half"))
-    return lines.join(average, "l_partkey").where("l_quantity < half").agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("s"))
+    wide = t("lineitem").select("l_partkey", "l_quantity", "l_extendedprice").join(parts, "l_partkey", "left_semi")
+    lines = subquery.with_correlated(wide, ["l_partkey"], {"half": 0.5 * F.avg("l_quantity")}, t("lineitem").select("l_partkey", "l_quantity"))
+    return lines.where("l_quantity < half").agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("s"))

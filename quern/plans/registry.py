@@ -34,6 +34,15 @@ def expand(text: str, spark: bool) -> str:
     return re.sub(r"\[\[(.*?)\|\|(.*?)\]\]", lambda m: m[1] if spark else m[2], text, flags=re.S)
 
 
+def quotient(dividend: str, divisor: str, scale: int) -> str:
+    """Oracle text of an exact quotient of integers as DECIMAL(38, scale), half away from zero, from integer division alone."""
+    a, b = f"CAST({dividend} AS HUGEINT)", f"CAST({divisor} AS HUGEINT)"
+    units = f"((abs({a}) * CAST('1{'0' * scale}' AS HUGEINT) * 2 + abs({b})) // (2 * abs({b})))"
+    shown = f"lpad(CAST({units} AS VARCHAR), CAST(greatest(length(CAST({units} AS VARCHAR)), {scale + 1}) AS INT), '0')"
+    digits = f"concat(CASE WHEN ({a} < 0) <> ({b} < 0) THEN '-' ELSE '' END, left({shown}, length({shown}) - {scale}), '.', right({shown}, {scale}))"
+    return f"CAST({digits} AS DECIMAL(38,{scale}))"
+
+
 def sql(name: str, text: str) -> None:
     """A query that both engines run from one text."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]

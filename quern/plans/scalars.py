@@ -6,12 +6,19 @@ from pyspark.sql import functions as F
 
 from quern.functions import dates, numeric, strings
 
-from .registry import frame, sql
+from .registry import frame, quotient, sql
 
 sql("num_int_div_mod", "SELECT l_orderkey, l_linenumber, CAST((l_partkey - 700) [[div||//]] 7 AS BIGINT) AS q, (l_partkey - 700) % 7 AS m FROM lineitem")
 sql("num_decimal_add_mul", "SELECT l_orderkey, l_linenumber, CAST(@price + @tax AS DECIMAL(18,2)) AS a, CAST(@price * @disc AS DECIMAL(20,4)) AS m, CAST(@price - @disc AS DECIMAL(18,2)) AS d FROM lineitem")
 sql("num_abs_round", "SELECT c_custkey, abs(@cbal) AS a, CAST(round(@cbal, 1) AS DECIMAL(15,1)) AS r, CAST(round(@cbal, 0) AS DECIMAL(15,0)) AS z FROM customer")
-sql("num_float_arith", "SELECT l_orderkey, l_linenumber, round(l_quantity * 1.5e0 + l_tax - l_discount / 3e0, 9) AS v FROM lineitem")
+
+
+@frame("num_float_arith", "SELECT l_orderkey, l_linenumber, round(l_quantity * 1.5e0 + l_tax - l_discount / 3e0, 9) AS v FROM lineitem")
+def _(t):
+    q, x, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(numeric.float_checked(q * 1.5 + x - d / 3.0, q, x, d), 9).alias("v"))
+
+
 sql("num_greatest", "SELECT s_suppkey, greatest(s_nationkey, CAST(10 AS INT)) AS g FROM supplier")
 sql("num_rescale", "SELECT c_custkey, CAST(@cbal AS DECIMAL(20,5)) AS r FROM customer")
 sql("cast_decimal_typmod", "SELECT c_custkey, CAST(@cbal AS DECIMAL(12,1)) AS r FROM customer")
@@ -19,10 +26,10 @@ sql("cast_widening", "SELECT n_nationkey, CAST(n_nationkey AS BIGINT) AS b, CAST
 sql("cast_date_ts", "SELECT o_orderkey, @odate AS d, CAST(CAST(@odate AS [[TIMESTAMP_NTZ||TIMESTAMP]]) AS DATE) = @odate AS same FROM orders")
 
 
-@frame("num_decimal_div", "SELECT o_orderkey, round(CAST(@total AS DOUBLE) / 3.7, 6) AS q FROM orders")
+@frame("num_decimal_div", f"SELECT o_orderkey, {quotient('CAST(@total * 100 AS HUGEINT)', '370', 16)} AS q, {quotient('-CAST(@total * 100 AS HUGEINT)', '700', 16)} AS r FROM orders")
 def _(t):
-    q = numeric.divide_decimal(F.col("o_totalprice").cast("decimal(15,2)"), F.lit("3.7").cast("decimal(4,1)"))
-    return t("orders").select("o_orderkey", F.round(q.cast("double"), 6).alias("q"))
+    total = F.col("o_totalprice").cast("decimal(15,2)")
+    return t("orders").select("o_orderkey", numeric.divide_decimal(total, F.lit("3.7").cast("decimal(4,1)")).alias("q"), numeric.divide_decimal(-total, F.lit(7).cast("decimal(4,0)")).alias("r"))
 
 
 @frame("num_overflow_try", "SELECT r_regionkey, CAST(NULL AS INT) AS v FROM region")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quern.operators import control
 from quern.operators.order import asc, desc, top_k, top_k_late
-from quern.sources.tables import create_as, insert_select, with_row_id
+from quern.sources.tables import create_as, create_partitioned, insert_select, shared_folder, with_row_id
 
 from .registry import frame, sql
 
@@ -85,16 +84,20 @@ sql("set_three_way", "(SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45
 sql("set_nulls_equal", "SELECT NULLIF(l_linenumber, 2) AS k FROM lineitem INTERSECT SELECT NULLIF(CAST(o_custkey % 5 AS INT), 2) FROM orders")
 sql("set_intersect_all", "SELECT o_orderstatus AS s FROM orders INTERSECT ALL SELECT l_linestatus FROM lineitem")
 sql("set_except_all", "SELECT o_orderpriority AS s FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
-sql("set_partitioned_append", "SELECT y, count(*) AS n FROM (SELECT 1996 AS y, o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' UNION ALL SELECT 1997 AS y, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00') t WHERE y = 1997 GROUP BY y")
+
+
+@frame("set_partitioned_append", "SELECT CAST(year(o_orderdate) AS INT) AS y, o_orderstatus AS s, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1997, 1999) GROUP BY 1, 2")
+def _(t):
+    orders = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.year("o_orderdate").alias("y"))
+    whole = create_partitioned(orders, _target(orders.sparkSession, "years"), ["y"])
+    return whole.where("y IN (1997, 1999)").groupBy("y", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
 sql("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, NULLIF(l_linenumber, 4) AS n FROM lineitem")
 
 
 def _target(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    base = base or tempfile.mkdtemp(prefix="quern-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @frame("sink_ctas_roundtrip", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey")

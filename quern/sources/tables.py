@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,33 @@ def create_as(query: DataFrame, target: str) -> DataFrame:
     return insert_select(query, target, "errorifexists")
 
 
+def create_partitioned(query: DataFrame, target: str, keys: list[str]) -> DataFrame:
+    """A table with a folder per value of its keys; a filter on them reads only the folders it asks for.
+
+    Rows go to their folder's task first, a few tasks per folder, so that no
+    task writes to all folders.
+    """
+    tasks = query.withColumn("__task", F.pmod(F.monotonically_increasing_id(), F.lit(8)))
+    tasks.repartition(*keys, "__task").drop("__task").write.mode("errorifexists").partitionBy(*keys).parquet(target)
+    return query.sparkSession.read.parquet(target)
+
+
 def with_row_id(df: DataFrame, name: str = "row_id", base: int = 0) -> DataFrame:
     """A distinct long per row, above ``base``; no shuffle and no order implied."""
     return df.withColumn(name, F.monotonically_increasing_id() + F.lit(base + 1))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share; a temporary one of this machine stands in only for local sessions."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (base or tempfile.mkdtemp(prefix="quern-")).rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows as they are now, kept in the checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
