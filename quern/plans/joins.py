@@ -105,3 +105,7 @@ def _(t):
     wide = t("lineitem").select("l_partkey", "l_quantity", "l_extendedprice").join(parts, "l_partkey", "left_semi")
     lines = subquery.with_correlated(wide, ["l_partkey"], {"half": 0.5 * F.avg("l_quantity")}, t("lineitem").select("l_partkey", "l_quantity"))
     return lines.where("l_quantity < half").agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(38,2)").alias("s"))
+
+
+# the side that looks large by its table is small once filtered: only the run shows which one to build on
+sql("join_side_chosen_at_run_time", "SELECT o_orderkey, l_linenumber FROM lineitem JOIN (SELECT o_orderkey, count(*) AS n FROM orders WHERE o_totalprice > 400000 AND o_orderpriority LIKE '1%' GROUP BY o_orderkey) o ON l_orderkey = o_orderkey")

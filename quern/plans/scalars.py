@@ -133,3 +133,38 @@ def _(t):
 
 sql("date_interval_fold", "SELECT count(*) AS n FROM orders WHERE @odate < DATE '1996-01-31' + INTERVAL '1' MONTH")
 sql("date_group", "SELECT @odate AS d, count(*) AS n FROM orders GROUP BY @odate")
+
+
+#: Words in three ways of writing, and what the locale sorts them by: letters first, then small before capital ones.
+_WORDS = "(SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(x) WHEN 1 THEN x ELSE concat(upper(left(x, 1)), substr(x, 2)) END AS w FROM (SELECT p_partkey, p_brand, regexp_replace(lower(p_name), '[^a-z].*', '') AS x FROM part) t) u"
+_WEIGHT = "lower(w) || ' ' || regexp_replace(regexp_replace(w, '[a-z]', '0', 'g'), '[A-Z]', '1', 'g')"
+
+
+def _words(t):
+    x = F.regexp_replace(F.lower("p_name"), "[^a-z].*", "")
+    w = F.when(F.col("p_partkey") % 3 == 0, F.upper(x)).when(F.col("p_partkey") % 3 == 1, x).otherwise(F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2))))
+    return t("part").select("p_partkey", "p_brand", w.alias("w"))
+
+
+@frame("agg_minmax_locale", f"SELECT p_brand, arg_min(w, {_WEIGHT}) AS lo, arg_max(w, {_WEIGHT}) AS hi FROM {_WORDS} GROUP BY p_brand")
+def _(t):
+    return _words(t).groupBy("p_brand").agg(strings.min_locale(F.col("w")).alias("lo"), strings.max_locale(F.col("w")).alias("hi"))
+
+
+@frame("str_compare_locale", f"SELECT p_partkey, CASE WHEN {_WEIGHT} < 'blue 1000' THEN -1 WHEN {_WEIGHT} > 'blue 1000' THEN 1 ELSE 0 END AS c FROM {_WORDS}")
+def _(t):
+    return _words(t).select("p_partkey", strings.compare_locale(F.col("w"), F.lit("Blue")).alias("c"))
+
+
+@frame("sort_text_locale", f"SELECT w, p_partkey FROM {_WORDS} ORDER BY {_WEIGHT}, p_partkey")
+def _(t):
+    return _words(t).select("w", "p_partkey").orderBy(F.collate("w", "UNICODE"), "p_partkey")
+
+
+@frame("str_case_locale", "SELECT doc_id, replace(upper(text), chr(7838), 'ß') AS u, lower(text) AS l FROM documents")
+def _(t):
+    return t("documents").select("doc_id", strings.upper_single(F.col("text")).alias("u"), strings.lower_single(F.col("text")).alias("l"))
+
+
+sql("cast_decimal_double", "SELECT o_orderkey, CAST(@total AS DOUBLE) AS d FROM orders")
+sql("cast_relabel", "SELECT c_custkey, CAST(CAST(c_name AS VARCHAR(40)) AS [[STRING||VARCHAR]]) || '' AS n, CAST(CAST(@cbal AS DECIMAL(20,2)) AS DECIMAL(25,2)) AS b FROM customer")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import control
 from quern.operators.order import asc, desc, top_k, top_k_late
-from quern.sources.tables import create_as, create_partitioned, insert_select, shared_folder, with_row_id
+from quern.sources.tables import cached, catalog_columns, create_as, create_partitioned, insert_select, shared_folder, with_row_id
 
 from .registry import frame, sql
 
@@ -111,3 +111,20 @@ def _(t):
     orders = t("orders").select("o_orderkey", "o_orderstatus")
     target = _target(orders.sparkSession, "insert")
     return insert_select(create_as(orders, target).where("o_orderstatus = 'F'"), target)
+
+
+@frame("catalog_columns", "SELECT table_name AS t, column_name AS c, CAST(ordinal_position AS INT) AS i FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'orders', 'lineitem')")
+def _(t):
+    return catalog_columns({name: t(name) for name in ("region", "nation", "customer", "orders", "lineitem")})
+
+
+@frame("scan_cached_columns", "SELECT l_returnflag AS f, count(*) AS n, CAST(sum(@qty) AS DECIMAL(38,2)) AS q, (SELECT count(*) FROM lineitem WHERE l_quantity > 25) AS big FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    kept = cached(t("lineitem").select("l_returnflag", F.col("l_quantity").cast("decimal(15,2)").alias("q")))
+    big = kept.where("q > 25").agg(F.count(F.lit(1)).alias("big"))
+    # one row
+    return kept.groupBy(F.col("l_returnflag").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum("q").cast("decimal(38,2)").alias("q")).crossJoin(F.broadcast(big))
+
+
+sql("sort_merged_streams", "SELECT k, v FROM (SELECT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, -c_custkey FROM customer) t ORDER BY k, v")
+sql("set_merge_append", "SELECT count(*) AS n, max(k) AS hi FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier) t")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ def with_row_id(df: DataFrame, name: str = "row_id", base: int = 0) -> DataFrame
     return df.withColumn(name, F.monotonically_increasing_id() + F.lit(base + 1))
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Columns kept decoded, compressed by column, in memory and beyond it on disk, once they have been read; ``unpersist`` frees them."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def catalog_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """The catalog as a table: the columns of each table (t, c) with their place (i) from one."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, c, i) for name, df in tables.items() for i, c in enumerate(df.columns, 1)]
+    return spark.createDataFrame(rows, "t string, c string, i int")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one of this machine stands in only for local sessions."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -148,3 +148,100 @@ def test_filters_and_columns_reach_the_scan(spark, data):
 
     plan = catalog.queries()["scan_like_pushdown"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(p_name,blue)" in plan and "p_retailprice" not in plan
+
+
+@pytest.mark.parametrize("pattern", [r"^a?(?:ab)?(.*)$", r"(a)\1", "a+?b", "((a)b)", "a*ab", "(ab)?(abcd)?", "(?:a*b?)+c", "ab|c"])
+def test_patterns_with_several_matches_are_refused(pattern):
+    with pytest.raises(ValueError, match="several ways"):
+        strings.checked_pattern(pattern)
+
+
+@pytest.mark.parametrize(("text", "pattern", "replacement", "want"), [("xaab", "(a)a", r"<\1>", "x<a>b"), ("aab\n", "^(a*)b.*$", r"\1", "aa"), ("a$b", r"(\$)b", r"[\1]$", "a[$]$"), ("https://www.x.org/p", r"^https?://(?:www\.)?([^/]+)/.*$", r"\1", "x.org")])
+def test_first_match_is_replaced(spark, text, pattern, replacement, want):
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(strings.regexp_replace_first(F.col("s"), pattern, replacement)).first()[0] == want
+
+
+def test_float_overflow_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1.5e308), (1, 1.5e308), (2, float("inf")), (2, 1.0), (3, None)], "k int, x double")
+    got = {r["k"]: r["s"] for r in df.where("k > 1").groupBy("k").agg(numeric.sum_float(F.col("x")).alias("s")).collect()}
+    assert got == {2: float("inf"), 3: None}
+    with pytest.raises(Exception, match="22003"):
+        df.groupBy("k").agg(numeric.sum_float(F.col("x"))).collect()
+    with pytest.raises(Exception, match="22003"):
+        df.select(numeric.float_checked(F.col("x") * 10, F.col("x"))).collect()
+
+
+def test_quotients_are_exact(spark):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    rows = [(Decimal("99999999999999999.99"), Decimal("3.00")), (Decimal("-0.01"), Decimal("7.00")), (Decimal("1.00"), Decimal("-64.00")), (Decimal("123456789012345.67"), Decimal("0.07")), (None, Decimal("1.00"))]
+    df = spark.createDataFrame(rows, "a decimal(19,2), b decimal(5,2)")
+    got = [r[0] for r in df.select(numeric.divide_decimal(F.col("a"), F.col("b"))).collect()]
+    with localcontext() as c:
+        c.prec = 60
+        assert got == [None if a is None else (a / b).quantize(Decimal(1).scaleb(-16), ROUND_HALF_UP) for a, b in rows]
+        mean = df.agg(numeric.avg_exact(F.col("a"))).first()[0]
+        known = [a for a, _ in rows if a is not None]
+        assert mean == (sum(known) / len(known)).quantize(Decimal(1).scaleb(-16), ROUND_HALF_UP)
+    with pytest.raises(Exception, match="22012"):
+        df.select(numeric.divide_decimal(F.col("a"), F.col("b") - F.col("b"))).collect()
+
+
+def test_running_sums_and_ranks_over_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(20)]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "p string, k int, i int").repartition(5)
+    got = {r["i"]: r for r in order.with_running(df, ["p"], [order.asc("k"), order.asc("i")], sums={"s": F.sum("i")}, row_number="n").collect()}
+    tied = {r["i"]: r for r in order.with_running(df, ["p"], [order.desc("k")], rank="r", dense="d").collect()}
+    assert len(got) == len(tied) == 500
+    for p in ("a", "b", None):
+        own = sorted([x for x in rows if x[0] == p], key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+        total = 0
+        for n, (_, k, i) in enumerate(own, 1):
+            total += i
+            assert (got[i]["s"], got[i]["n"]) == (total, n)
+            above = [x[1] for x in own if x[1] != k and (x[1] is None or (k is not None and x[1] > k))]
+            assert (tied[i]["r"], tied[i]["d"]) == (1 + len(above), 1 + len(set(above)))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_the_scan_and_the_folders(spark, data, tmp_path):
+    from quern.sources.tables import create_partitioned, table
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    scan = plan(table(spark, data, "lineitem").where("l_orderkey BETWEEN 100 AND 900 AND l_quantity < 24").select("l_linenumber"))
+    assert "GreaterThanOrEqual(l_orderkey,100)" in scan and "LessThan(l_quantity,24.0)" in scan and "l_comment" not in scan
+    orders = table(spark, data, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    whole = create_partitioned(orders, str(tmp_path / "t"), ["y"])
+    some = whole.where("y = 1997")
+    assert "PartitionFilters: [isnotnull(y" in plan(some) and "(y" in plan(some)
+    assert some.inputFiles() != whole.inputFiles() or len(whole.inputFiles()) >= 1
+    assert some.count() == orders.where("y = 1997").count()
+
+
+@pytest.mark.parametrize("name", ["tpch_q2", "tpch_q17", "tpch_q20"])
+def test_key_filters_stand_below_the_aggregate(spark, data, name):
+    """lineitem is read once, and the parts that are asked for reach it before anything is aggregated."""
+    from quern.plans import catalog
+
+    lines = catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("l_orderkey" in x and "Relation" in x for x in lines) == 1
+    semi = next(i for i, x in enumerate(lines) if "LeftSemi" in x and "l_partkey" in x)
+    grouped = next(i for i, x in enumerate(lines) if ("Aggregate" in x or "Window" in x) and "l_partkey" in x)
+    assert grouped < semi
+
+
+def test_cube_reads_its_rows_once(spark, data):
+    from quern.plans import catalog
+
+    df = catalog.queries()["gs_cube"](spark, data)
+    df.collect()
+    found = plan(df)
+    final = found[: found.index("Initial Plan")] if "Initial Plan" in found else found
+    assert final.index("Expand") < final.index("HashAggregate", final.index("Expand"))
