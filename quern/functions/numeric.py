@@ -71,6 +71,22 @@ def variance_exact(x: Column, sample: bool = True) -> Column:
     return F.when(F.count(x) > (1 if sample else 0), numerator / below.cast("double"))
 
 
+def variance_decimal(x: Column, sample: bool = True, scale: int = 16) -> Column:
+    """Variance of integers as a decimal, every digit right; null below one (or two, for a sample) values."""
+    v = x.cast("decimal(10,0)")
+    n, s, q = F.count(x).cast("decimal(18,0)"), F.sum(v).cast("decimal(19,0)"), F.sum((v * v).cast("decimal(20,0)")).cast("decimal(20,0)")
+    numerator = ((n * q).cast(BIG) - (s * s).cast(BIG)).cast(BIG)
+    below = (n.cast("decimal(9,0)") * (n - 1 if sample else n).cast("decimal(9,0)")).cast("decimal(19,0)")
+    return F.when(F.count(x) > (1 if sample else 0), _quotient(numerator, below, scale))
+
+
+def avg_over(x: Column, window, scale: int = 16, decimals: int = 2) -> Column:
+    """Average over a window's frame, exact to ``scale`` digits, of decimals with at most ``decimals`` digits behind the point."""
+    unit = F.lit("1" + "0" * decimals).cast(f"decimal({decimals + 1},0)")
+    total = F.sum((x.cast(f"decimal(28,{decimals})") * unit).cast("decimal(28,0)")).over(window).cast(BIG)
+    return _quotient(total, F.count(x).over(window) * F.lit(10**decimals), scale)
+
+
 def stddev_exact(x: Column, sample: bool = True) -> Column:
     return F.sqrt(variance_exact(x, sample))
 

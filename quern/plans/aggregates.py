@@ -69,6 +69,15 @@ def _(t):
     )
 
 
+_N, _S, _Q = "CAST(count(*) AS HUGEINT)", "CAST(sum(l_linenumber) AS HUGEINT)", "CAST(sum(l_linenumber * l_linenumber) AS HUGEINT)"
+
+
+@frame("agg_variance_decimal", f"SELECT l_returnflag, {quotient(f'{_N} * {_Q} - {_S} * {_S}', f'{_N} * ({_N} - 1)', 16)} AS vs, {quotient(f'{_N} * {_Q} - {_S} * {_S}', f'{_N} * {_N}', 16)} AS vp FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    x = F.col("l_linenumber")
+    return t("lineitem").groupBy("l_returnflag").agg(numeric.variance_decimal(x).alias("vs"), numeric.variance_decimal(x, False).alias("vp"))
+
+
 @frame("agg_stddev_single", "SELECT n_nationkey, var_samp(n_regionkey) IS NULL AS a, CAST(var_pop(n_regionkey) AS DOUBLE) AS b FROM nation GROUP BY n_nationkey")
 def _(t):
     x = F.col("n_regionkey")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import numeric
 from quern.operators.order import asc, desc, with_group_totals, with_running
 
-from .registry import frame, sql
+from .registry import frame, quotient, sql
 
 _O = "SELECT o_orderkey, o_custkey, o_orderstatus, @total AS v, o_totalprice FROM orders"
 
@@ -31,7 +32,13 @@ def _(t):
     return with_running(orders, ["o_orderstatus"], [asc("o_orderkey")], sums={"s": F.sum(F.col("o_custkey").cast("decimal(28,0)"))}).select("o_orderkey", "s")
 
 
-sql("win_avg", f"SELECT o_orderkey, round(CAST(sum(v) OVER (PARTITION BY o_custkey) AS DOUBLE) / count(v) OVER (PARTITION BY o_custkey), 6) AS a FROM ({_O}) t")
+
+
+@frame("win_avg", f"SELECT o_orderkey, {quotient('CAST(sum(v) OVER (PARTITION BY o_custkey) * 100 AS HUGEINT)', 'count(v) OVER (PARTITION BY o_custkey) * 100', 16)} AS a FROM ({_O}) t")
+def _(t):
+    return t("orders").select("o_orderkey", numeric.avg_over(F.col("o_totalprice").cast("decimal(15,2)"), Window.partitionBy("o_custkey")).alias("a"))
+
+
 sql("win_minmax", f"SELECT o_orderkey, min(v) OVER (PARTITION BY o_custkey) AS lo, max(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hi FROM ({_O}) t")
 sql("win_count", "SELECT l_orderkey, l_linenumber, count(NULLIF(l_returnflag, 'A')) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem")
 sql("win_topn_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 3")
