@@ -169,7 +169,9 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY, texts: bool = Fals
     ids joined by a space), decoded_sha256; with ``texts`` also the ids and the
     decoded text. The file's vocabulary has no decoder, so decoding joins token
     strings by a space. Null counts as empty: no tokens, empty decoding. A special
-    string inside a text is its own id. Other columns are ignored.
+    string inside a text is its own id. Repeated rows and null ids are rows like
+    any other, a table without rows gives none, and texts are encoded whole,
+    however long they or their words are. Other columns are ignored.
     """
 
     def rows(batches):

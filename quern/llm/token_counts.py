@@ -1,13 +1,17 @@
 """Token counts by the whole-token shortcut.
 
-Before any text is read, every vocabulary string that is provably one token
-when it stands alone is collected. A pre-token among them counts one with a
-single look-up; the merges run for the rest only, once per distinct pre-token
-while a worker remembers it.
+Before any text is read, the driver collects every vocabulary string that is
+provably one token when it stands alone; the tasks get that list, which the
+vocabulary bounds. A pre-token among them counts one with a single look-up; the
+merges run for the rest only, once per distinct pre-token while a worker
+remembers it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +27,9 @@ REMEMBERED = 800_000
 class Counter(dict):
     """Pre-token -> number of tokens."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, proven: Iterable[str]):
         self.vocab = vocab
-        self.single = dict.fromkeys(vocab.proven_single(), 1)
+        self.single = dict.fromkeys(proven, 1)
         super().__init__(self.single)
 
     def __missing__(self, pretoken: str) -> int:
@@ -50,18 +54,27 @@ class Counter(dict):
 _COUNTERS: dict[str, Counter] = {}
 
 
+@lru_cache(4)
+def proven_tokens(name: str) -> tuple[str, ...]:
+    """Pre-tokens that are one token whole, worked out once per driver and vocabulary."""
+    return tuple(vocabulary(name).proven_single())
+
+
 def token_counts(docs: DataFrame, name: str = VOCABULARY, limit: int = 1024) -> DataFrame:
     """Tokens of each whole text, as the tokenizers library counts them without added tokens.
 
     Returns one row per input row: doc_id, n_bytes, n_tokens, over_limit. Null
     counts as empty: no bytes and no tokens. A special string inside a text is
-    one token, as the library has it. ``name`` is a tokenizer file's name or
+    one token, as the library has it. Repeated rows and null ids are rows like any
+    other, a table without rows gives none, and texts are counted whole, however
+    long they or their pre-tokens are. ``name`` is a tokenizer file's name or
     path. Other columns are ignored.
     """
+    proven = proven_tokens(name)
 
     def rows(batches):
         if name not in _COUNTERS:
-            _COUNTERS[name] = Counter(vocabulary(name))
+            _COUNTERS[name] = Counter(vocabulary(name), proven)
         counter = _COUNTERS[name]
         for batch in batches:
             counts = [counter.count(x.as_py() or "") for x in batch.column("text")]

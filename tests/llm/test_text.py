@@ -246,13 +246,28 @@ AWKWARD = ["don't we'LL I'M 'S  \n\n  x \t\x85\xa0\x1c\x1d y", "İSTANBUL Σας
 def test_awkward_texts_encode_like_the_library(text):
     byte, word = bpe.vocabulary("byte_bpe_50k.json"), bpe.vocabulary("word_bpe_49k.json")
     ids = byte.library.encode(text, add_special_tokens=False).ids
-    assert token_counts.Counter(byte).count(text) == len(ids)
+    assert token_counts.Counter(byte, token_counts.proven_tokens("byte_bpe_50k.json")).count(text) == len(ids)
     assert packing.IdEncoder(byte).encode(text) == np.array(ids, "<u4").tobytes()
     ids = word.library.encode(text, add_special_tokens=False).ids
     decoded = word.library.decode(ids, skip_special_tokens=False)
     assert bpe_codec.TrieEncoder(word).encode([text]) == [(len(ids), " ".join(map(str, ids)), decoded)]
 
 
+def test_counts_and_codes_of_long_texts_and_odd_rows(spark):
+    byte, word = (bpe.vocabulary(n).library for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    long = [" " * 1_000_000 + "a", "\n\t" * 200_000 + "❤", "x" * 200_000, "ab" * 100_000 + " É", "! " * 100_000]
+    rows = [*enumerate(long), (3, "again and again"), (3, "again and again"), (None, None), (None, "no id"), (7, "")]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, n_tokens int, ids string, n_bytes int").repartition(3)
+    texts = [t or "" for _, t in rows]
+    ids = [byte.encode(t, add_special_tokens=False).ids for t in texts]
+    got = Counter(tuple(r) for r in token_counts.token_counts(df).collect())
+    assert got == Counter((i, len(t.encode()), len(x), len(x) > 1024) for (i, _), t, x in zip(rows, texts, ids, strict=True))
+    ids = [word.encode(t, add_special_tokens=False).ids for t in texts]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = Counter(tuple(r) for r in bpe_codec.encode_documents(df).collect())
+    assert got == Counter((i, len(x), sha(" ".join(map(str, x))), sha(word.decode(x, skip_special_tokens=False))) for (i, _), x in zip(rows, ids, strict=True))
+
+
 def test_long_merges_equal_short_ones():
     v = bpe.vocabulary("byte_bpe_50k.json")
     for text in ("internationalization", "aaaaaaaabababab", "thethethe the"):
