@@ -42,7 +42,8 @@ def with_correlated(outer: DataFrame, keys: list[str], aggregates: dict[str, Col
 
     The key filter always stands below the aggregate. Where the subquery reads
     the outer query's own rows (``inner`` is None: every row of the keys is
-    there), a window gives the aggregates in the same pass.
+    there), a window gives the aggregates in the same pass; each is then a plain
+    aggregate, without arithmetic around it.
     """
     if inner is None:
         over = Window.partitionBy(*keys)

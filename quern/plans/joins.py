@@ -36,11 +36,17 @@ sql("join_float_key", "SELECT count(*) AS n FROM (SELECT CASE WHEN l_linenumber
 sql("join_dedup_semi", "SELECT DISTINCT s_suppkey, s_name FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE l_quantity = 50")
 sql("subq_scalar", "SELECT o_orderkey, (SELECT max(c_custkey) FROM customer) - o_custkey AS d FROM orders")
 sql("subq_scalar_empty", "SELECT r_regionkey, (SELECT max(c_custkey) FROM customer WHERE c_custkey < 0) AS v FROM region")
-sql("subq_corr_avg", "SELECT l_orderkey, l_linenumber FROM lineitem a WHERE l_quantity < (SELECT 0.3 * avg(b.l_quantity) FROM lineitem b WHERE b.l_partkey = a.l_partkey)")
 sql("subq_corr_count_zero", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AS n FROM customer")
 sql("subq_in_or", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) OR o_totalprice > 300000")
 
 
+@frame("subq_corr_avg", "SELECT l_orderkey, l_linenumber FROM lineitem a WHERE l_quantity < (SELECT 0.3 * avg(b.l_quantity) FROM lineitem b WHERE b.l_partkey = a.l_partkey)")
+def _(t):
+    # every row of a key is an outer row too, so one pass gives the average
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return subquery.with_correlated(lines, ["l_partkey"], {"mean": F.avg("l_quantity")}).where("l_quantity < 0.3 * mean").select("l_orderkey", "l_linenumber")
+
+
 @frame("join_char_key", "SELECT l_orderkey, l_linenumber, s FROM lineitem JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) o ON l_linestatus = s")
 def _(t):
     lines = t("lineitem").withColumn("padded", char_pad(F.col("l_linestatus"), 10))

@@ -128,3 +128,4 @@ def _(t):
 
 sql("sort_merged_streams", "SELECT k, v FROM (SELECT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, -c_custkey FROM customer) t ORDER BY k, v")
 sql("set_merge_append", "SELECT count(*) AS n, max(k) AS hi FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier) t")
+sql("output_tail", "SELECT c_custkey, md5(c_name) AS h, @cbal * 2 AS twice FROM customer WHERE c_acctbal > 0")

@@ -237,11 +237,24 @@ def test_key_filters_stand_below_the_aggregate(spark, data, name):
     assert grouped < semi
 
 
-def test_cube_reads_its_rows_once(spark, data):
+@pytest.mark.parametrize(("name", "scans"), [("gs_cube", 1), ("cte_shared_scan", 1)])
+def test_rows_are_read_once(spark, data, name, scans):
     from quern.plans import catalog
 
-    df = catalog.queries()["gs_cube"](spark, data)
+    df = catalog.queries()[name](spark, data)
     df.collect()
-    found = plan(df)
-    final = found[: found.index("Initial Plan")] if "Initial Plan" in found else found
-    assert final.index("Expand") < final.index("HashAggregate", final.index("Expand"))
+    final, *_ = plan(df).rpartition("== Initial Plan ==")[0].split("== Initial Plan ==")
+    assert "ReusedExchange" in final and final.count("FileScan") == scans
+
+
+def test_rows_per_node(spark, data):
+    from quern.operators.diagnostics import in_engine, node_rows
+    from quern.sources.tables import table
+
+    orders = table(spark, data, "orders")
+    df = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    nodes = node_rows(df)
+    statuses = orders.select("o_orderstatus").distinct().count()
+    assert next(n for _, name, n in nodes if "HashAggregate" in name) == statuses
+    assert next(n for _, name, n in nodes if "Scan" in name) == orders.count()
+    assert in_engine(df) and not in_engine(df.mapInArrow(lambda b: b, df.schema))
