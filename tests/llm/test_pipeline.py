@@ -64,11 +64,19 @@ def plain_pipeline(rows):
     return {i: pii.replace(docs[i], key)[0] for k, i in enumerate(ids) if roots[k] == k}
 
 
-def test_run_equals_brute_force(spark, data):
-    from quern.llm import bpe, pii
+@pytest.fixture
+def key(spark):
+    from quern.llm import pii
 
-    library = bpe.vocabulary("byte_bpe_50k.json").library
     spark.conf.set(pii.KEY_SETTING, KEY)
+    yield KEY
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_run_equals_brute_force(spark, data, key):
+    from quern.llm import bpe
+
+    library = bpe.vocabulary("byte_bpe_50k.json").library
     documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in plain_pipeline(documents).items()}
     assert 0 < len(want) < len(documents)
