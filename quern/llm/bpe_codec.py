@@ -22,11 +22,24 @@ from .shared import documents
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words in each of the two generations that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: In place of an id: no token of its own, and one that is not worked out yet.
 ABSENT, UNTRIED = -1, -2
 
 
+#: Last symbols by which tokens are told apart before they are looked for.
+ENDING = 4
+
+
+def _longest(tokens) -> dict[str, int]:
+    """The length of the longest token that ends in given symbols, for tokens longer than ``ENDING``."""
+    found: dict[str, int] = {}
+    for token in tokens:
+        if len(token) > ENDING:
+            found[token[-ENDING:]] = max(found.get(token[-ENDING:], 0), len(token))
+    return found
+
+
 class TrieEncoder:
     """Ids and token strings of words, remembered per word.
 
@@ -37,16 +50,16 @@ class TrieEncoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.longest = max(len(t.removesuffix(vocab.suffix)) for t in vocab.ids)
         self.names = {number: token for token, number in vocab.ids.items()}
         self.shift = max(self.names).bit_length()
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self._older: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self._older: dict[str, tuple[str, str]] = {}
         self._pairs: dict[int, bool] = {}
         # inner tokens, and tokens with the suffix (shown without it): id if it encodes to itself, else absent
         suffix = vocab.suffix
         self._inner = dict.fromkeys((t for t in vocab.ids if not suffix or not t.endswith(suffix)), UNTRIED)
         self._final = dict.fromkeys((t.removesuffix(suffix) for t in vocab.ids if suffix and t.endswith(suffix)), UNTRIED)
+        self._reach = {"": _longest(self._inner), suffix: _longest(self._final)} if suffix else {"": _longest(self._inner)}
         self._latin = dict(enumerate(vocab.byte_characters))
 
     def _alone(self, token: str, suffix: str) -> int:
@@ -67,7 +80,8 @@ class TrieEncoder:
     def _last(self, word: str, end: int, begin: list[int], last: list[int], suffix: str) -> tuple[int, int]:
         """Where the last token of the first ``end`` symbols begins, and its id; the shorter prefixes are known."""
         alone, pairs = (self._final if suffix else self._inner).get, self._pairs.get
-        for at in range(max(0, end - self.longest), end):
+        reach = self._reach[suffix].get(word[max(end - ENDING, 0) : end], ENDING)
+        for at in range(max(0, end - reach), end):
             token = word[at:end]
             number = alone(token, ABSENT)
             if number == UNTRIED:
@@ -115,7 +129,7 @@ class TrieEncoder:
                 tokens.append(last[end])
                 end = begin[end]
             tokens.reverse()
-            self.known[word] = (len(tokens), " ".join(map(str, tokens)), " ".join([names[t] for t in tokens]))
+            self.known[word] = (" ".join(map(str, tokens)), " ".join([names[t] for t in tokens]))
 
     def _recall(self, fresh: set[str]) -> None:
         """Make all of these words young: from the old ones, or by encoding."""
@@ -145,18 +159,17 @@ class TrieEncoder:
         return [self._join(parts) for parts in split]
 
     def _join(self, parts: list) -> tuple[int, str, str]:
-        count, ids, tokens = 0, [], []
+        ids, tokens = [], []
         for part in parts:
             if isinstance(part, str):
-                count += 1
                 ids.append(str(self.vocab.special[part]))
                 tokens.append(part)
             elif part:
-                numbers, coded, shown = zip(*map(self.known.__getitem__, part), strict=True)
-                count += sum(numbers)
+                coded, shown = zip(*map(self.known.__getitem__, part), strict=True)
                 ids.extend(coded)
                 tokens.extend(shown)
-        return count, " ".join(ids), " ".join(tokens)
+        joined = " ".join(ids)
+        return joined.count(" ") + 1 if ids else 0, joined, " ".join(tokens)
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
