@@ -4,8 +4,8 @@ The distinct words of a batch form a trie over merge symbols. For each node,
 that is each prefix, only the last token of its encoding is kept: it is the one
 vocabulary string that ends there, encodes to itself and is compatible with the
 last token of the prefix it leaves (the two together encode to just these two).
-Depth-first, a prefix that many words share is worked out once; a word's ids
-follow the last tokens back to the root. The symbol with the end-of-word suffix
+Depth-first, a prefix that many words share is worked out once, when the first
+of them needs it; a word's ids follow the last tokens back to the root. The symbol with the end-of-word suffix
 is a leaf of its own.
 """
 
@@ -27,6 +27,8 @@ REMEMBERED = 300_000
 ABSENT, UNTRIED = -1, -2
 
 
+#: New symbols of a word beyond which its prefixes are worked out in order and not on demand.
+DEEP = 64
 #: Last symbols by which tokens are told apart before they are looked for.
 ENDING = 4
 
@@ -78,7 +80,7 @@ class TrieEncoder:
         return ok
 
     def _last(self, word: str, end: int, begin: list[int], last: list[int], suffix: str) -> tuple[int, int]:
-        """Where the last token of the first ``end`` symbols begins, and its id; the shorter prefixes are known."""
+        """Where the last token of the first ``end`` symbols begins, and its id; shorter prefixes are worked out when asked for."""
         alone, pairs = (self._final if suffix else self._inner).get, self._pairs.get
         reach = self._reach[suffix].get(word[max(end - ENDING, 0) : end], ENDING)
         for at in range(max(0, end - reach), end):
@@ -90,6 +92,8 @@ class TrieEncoder:
                 continue
             if at == 0:
                 return 0, number
+            if last[at] == UNTRIED:
+                begin[at], last[at] = self._last(word, at, begin, last, "")
             key = last[at] << self.shift | number
             ok = pairs(key)
             if ok is None:
@@ -114,11 +118,10 @@ class TrieEncoder:
             else:
                 while path[same] == symbols[same]:
                     same += 1
-            del begin[same + 1 :], last[same + 1 :]
-            for end in range(same + 1, stem + 1):
-                at, number = self._last(symbols, end, begin, last, "")
-                begin.append(at)
-                last.append(number)
+            begin[same + 1 :] = last[same + 1 :] = [UNTRIED] * (stem - same)
+            if stem - same > DEEP:  # in order, so that no call goes deep
+                for end in range(same + 1, stem + 1):
+                    begin[end], last[end] = self._last(symbols, end, begin, last, "")
             path = symbols[:stem]
             tokens = []
             end = stem
@@ -126,6 +129,8 @@ class TrieEncoder:
                 end, number = self._last(symbols, full, begin, last, suffix)
                 tokens.append(number)
             while end > 0:
+                if last[end] == UNTRIED:
+                    begin[end], last[end] = self._last(symbols, end, begin, last, "")
                 tokens.append(last[end])
                 end = begin[end]
             tokens.reverse()
