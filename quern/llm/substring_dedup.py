@@ -180,8 +180,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(-(-size // block_bytes), 1)
     slices = -(-blocks // SLICE_BLOCKS)
-    # a row's own number deals even repeated rows over all blocks
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(n, "block")
+    # tasks grow with the blocks, so none reads more as the table grows; a row's own number deals even repeated rows over all blocks
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(max(n, blocks), "block")
 
     def load(table: pa.Table) -> _Block:
         return _Block(table, window, gram, hash_bits)
@@ -379,8 +379,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans string, wrong binary" + ", kept_text string" * with_text
         return dealt.groupBy("block").cogroup(factors.groupBy("block")).applyInArrow(apply, schema)
 
-    keys = dealt.groupBy("block").applyInArrow(send_keys, _SENT).groupBy("block").applyInArrow(index_keys, _SENT)
-    windows = answered(keys, send_windows).groupBy("block").applyInArrow(search_index, _SENT)
+    def indexed(sent: DataFrame, step) -> DataFrame:
+        """What every slice of the index makes of the messages to it."""
+        return sent.repartition(max(n, slices), "block").groupBy("block").applyInArrow(step, _SENT)
+
+    keys = indexed(dealt.groupBy("block").applyInArrow(send_keys, _SENT), index_keys)
+    windows = indexed(answered(keys, send_windows), search_index)
     factors = answered(answered(windows, factor), verify)
     # one query up to here, so that the texts are dealt once
     found = checkpoint(results(factors))
