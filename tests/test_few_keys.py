@@ -26,3 +26,7 @@ def joins(df):
 
 def test_null_equal_join_lists_no_pairs(spark, data):
     assert all(rows <= 401 for _, rows in joins(QUERIES["join_null_equal"](spark, data)))
+
+
+def test_intersect_meets_distinct_values(spark, data, settings):
+    assert all(rows <= 8 for _, rows in joins(QUERIES["set_nulls_equal"](spark, data)))
