@@ -1,6 +1,7 @@
 """Joins and set operations on a few keys that hold all rows: same rows as plain ones, no task with all of a key."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators.diagnostics import node_rows
 from quern.plans import catalog
@@ -30,3 +31,8 @@ def test_null_equal_join_lists_no_pairs(spark, data):
 
 def test_intersect_meets_distinct_values(spark, data, settings):
     assert all(rows <= 8 for _, rows in joins(QUERIES["set_nulls_equal"](spark, data)))
+
+
+def test_char_keys_are_dealt_over_tasks(spark, data, settings):
+    counts = [r[1] for r in QUERIES["join_char_key"](spark, data).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) > 8 and max(counts) < sum(counts) / 4
