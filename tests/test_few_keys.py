@@ -1,6 +1,7 @@
 """Joins and set operations on a few keys that hold all rows: same rows as plain ones, no task with all of a key."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def test_full_join_does_not_hold_the_pairs_of_a_key(spark, data):
     assert max(rows for _, rows in joins(QUERIES["join_full"](spark, "/root/testdata/sf0.01")) if rows is not None) < 20_000  # of 40,396, 25,000 of them pairs
 
 
+@pytest.mark.parametrize("name", ["join_left"])
+def test_outer_joins_write_their_pairs_narrow(spark, tmp_path, name):
+    QUERIES[name](spark, "/root/testdata/sf0.1").write.parquet(str(tmp_path / name))
+    files = list(Path(tmp_path / name).glob("*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 1.5 * spark.read.parquet(str(tmp_path / name)).count()
+
+
 def test_null_equal_join_lists_no_pairs(spark, data):
     assert all(rows <= 401 for _, rows in joins(QUERIES["join_null_equal"](spark, data)))
 
