@@ -54,7 +54,7 @@ def test_full_join_does_not_hold_the_pairs_of_a_key(spark, data):
     assert max(rows for _, rows in joins(QUERIES["join_full"](spark, "/root/testdata/sf0.01")) if rows is not None) < 20_000  # of 40,396, 25,000 of them pairs
 
 
-@pytest.mark.parametrize("name", ["join_left"])
+@pytest.mark.parametrize("name", ["join_left", "join_right"])
 def test_outer_joins_write_their_pairs_narrow(spark, tmp_path, name):
     QUERIES[name](spark, "/root/testdata/sf0.1").write.parquet(str(tmp_path / name))
     files = list(Path(tmp_path / name).glob("*.parquet"))
