@@ -48,6 +48,8 @@ class Vocabulary:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        asked = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        self.plain = spec["model"].get("type") == "BPE" and not any(spec["model"].get(x) for x in asked) and spec.get("normalizer") is None
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.byte_characters = byte_characters()
         self._shown = dict(enumerate(self.byte_characters))

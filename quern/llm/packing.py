@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batch_bpe import BatchEncoder
 from .bpe import Vocabulary, vocabulary
 from .shared import checkpoint, documents
 
@@ -37,6 +38,8 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class IdEncoder(dict):
     """Pre-token -> its ids as bytes (little-endian, 32 bits each), merged by the tokenizers library and remembered.
 
+    It takes the texts that ``BatchEncoder`` leaves to it.
+
     Pre-tokens have no bound, so a run of millions of spaces is one of them and
     the library's merges take it as any other; long ones are not remembered.
     """
@@ -71,22 +74,22 @@ def _bytes(ids: list[int]) -> bytes:
     return words.tobytes()
 
 
-_ENCODERS: dict[str, IdEncoder] = {}
+_ENCODERS: dict[tuple[str, int], BatchEncoder] = {}
 
 
 def _pieces(name: str, length: int, end: int):
     def rows(batches):
         from pyspark import TaskContext
 
-        if name not in _ENCODERS:
-            _ENCODERS[name] = IdEncoder(vocabulary(name))
-        encode, stop = _ENCODERS[name].encode, _bytes([end])
+        if (name, end) not in _ENCODERS:
+            vocab = vocabulary(name)
+            _ENCODERS[name, end] = BatchEncoder(vocab, IdEncoder(vocab).encode, _bytes([end]))
+        encode = _ENCODERS[name, end].encode
         task = TaskContext.get().partitionId()
         seen = [0] * (length + 1)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + stop
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at : at + 4 * length]
                     size = len(piece) // 4

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quern.llm import bpe, bpe_codec, language, packing, pii, secrets, token_counts
+from quern.llm import batch_bpe, bpe, bpe_codec, language, packing, pii, secrets, token_counts
 
 KEY = b"k" * 16
 
@@ -323,6 +323,44 @@ def test_packing(docs, texts, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_merges_ordinary_pretokens_together(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    texts = ["A plain text, isn't it?  Déjà vu: 12 naïve\n\n words zqxjkv", None, "", "qzx'll   wvuts \xa0 !?"]
+    library = bpe.vocabulary("byte_bpe_50k.json").library
+    ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+
+    def alone(self, pretoken):
+        raise AssertionError(f"{pretoken!r} was merged alone")
+
+    monkeypatch.setattr(bpe.Vocabulary, "merged_ids", alone)
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4), pa.int64()), "text": texts})
+    (got,) = packing._pieces("byte_bpe_50k.json", 1024, 0)([batch])
+    assert got.column("ids_crc32").to_pylist() == [zlib.crc32(x) for x in ids]
+
+
+@pytest.mark.parametrize("size", [1, 200, 1 << 22])
+def test_batches_encode_like_the_library(size, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng, vocab = random.Random(size), bpe.vocabulary("byte_bpe_50k.json")
+    parts = [*"'\n\t\x85\xa0\x1c\x00asrelvdSEéßÿª²½1!\xad×…❤", "'s", "'re", "'ve", "'ll", " ", " ", "  ", "the", "tion", "--", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choices(rng.sample(parts, rng.randint(1, 12)), k=rng.randint(0, 30))) for _ in range(1500)]
+    texts += [*AWKWARD, None, "", *("a" * n for n in range(60, 70)), *("é" * n for n in range(30, 36)), *(bytes(rng.choices(range(256), k=n)).decode("latin-1") for n in range(200))]
+    monkeypatch.setattr(batch_bpe, "SLICE", size)
+    encoder = batch_bpe.BatchEncoder(vocab, packing.IdEncoder(vocab).encode, packing._bytes([7]))
+    assert encoder.merges is not None
+    got = [bytes(x) for x in encoder.encode(pa.array(["cut off", *texts]).slice(1))]
+    assert got == [np.array([*vocab.library.encode(t or "", add_special_tokens=False).ids, 7], "<u4").tobytes() for t in texts]
+
+
 def test_packing_of_very_long_runs_and_odd_ids(spark):
     library = bpe.vocabulary("byte_bpe_50k.json").library
     long = [" " * 2_000_000 + "a", "\n" * 2_000_000, "\t \r\n" * 300_000 + "❤", "x" * 500_000, "!" * 500_000]
